@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Outer characters that never belong to an identifier: blank, tab, line feed.
@@ -24,7 +24,6 @@ def latest_rows(df: DataFrame, keys: dict[str, Column], order: Column, values: d
     the order given (nulls smallest), so the result doesn't depend on row order.
     Rows with a null key are left out; a null ``order`` loses to any other.
     """
-    picked = F.max(F.struct(order.alias("_order"), *[v.alias(k) for k, v in values.items()])).alias("_row")
     known = df.select(*[v.alias(k) for k, v in keys.items()], order.alias("_o"), *[v.alias(f"_v_{k}") for k, v in values.items()])
     picked = F.max(F.struct(F.col("_o"), *[F.col(f"_v_{k}").alias(k) for k in values])).alias("_row")
     return known.dropna(subset=list(keys)).groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{k}").alias(k) for k in values])
@@ -35,8 +34,6 @@ def ordinals(df: DataFrame, key: Column, order: Column, *keep: str) -> DataFrame
 
     For small dimension tables only (one task numbers all rows).
     """
-    from pyspark.sql import Window
-
     named = df.select(key.alias("period"), order.alias("_order"), *keep).dropna(subset=["period", "_order"])
     named = named.groupBy("period").agg(F.min("_order").alias("_order"), *[F.min_by(c, "_order").alias(c) for c in keep if c != "_order"])
     number = F.row_number().over(Window.orderBy("_order", "period")) - 1
