@@ -6,10 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpuskel.functions.keys import latest_rows, tidy
-from korpuskel.llm import copies
+from korpuskel.llm import consensus, copies
 from korpuskel.session import read_table
 
 
+#: The levels a case can have. Fixed values.
+RISK_LEVELS = ["LOW", "MODERATE", "HIGH", "CRITICAL"]
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = read_table(spark, sf_dir, "review_decisions")
+    named = reviews.select(
+        tidy("case_id").alias("case_id"),
+        F.lower(tidy("adjudicator_identity")).alias("adjudicator_identity"),
+        tidy(F.col("decided_case.strata")["clinical_risk"]).alias("said"),
+        "decided_at",
+    )
+    return consensus.prepared(named, "case_id", "adjudicator_identity", F.col("said"), F.col("decided_at"), RISK_LEVELS)
+
+
+def found_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level for each case that three adjudicators gave a level."""
+    votes = _votes(spark, sf_dir)
+    judged = consensus.consensus(votes, "case_id", consensus.fit(votes, RISK_LEVELS))
+    return judged.where("n_labels >= 3").select("case_id", F.col("level").alias("risk_level"))
+
+
+def case_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level, certainty, difficulty and agreement of every case with a level."""
+    votes = _votes(spark, sf_dir)
+    judged = consensus.consensus(votes, "case_id", consensus.fit(votes, RISK_LEVELS))
+    rounded = [F.round(c, 6).alias(c) for c in ("probability", "easiness", "agreement")]
+    return judged.select("case_id", F.col("level").alias("risk_level"), "n_labels", *rounded)
+
+
+def adjudicator_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of every adjudicator."""
+    model = consensus.fit(_votes(spark, sf_dir), RISK_LEVELS)
+    rounded = [F.round(c, 6).alias(c) for c in ("accuracy", "skill", "information")]
+    return consensus.reliability(spark, model).select(F.col("annotator").alias("adjudicator_identity"), "n_labels", *rounded)
+
+
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     evidence = read_table(spark, sf_dir, "corpus_evidence")
     exact = F.col("content_exact")
@@ -36,7 +73,13 @@ def kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("corpus_release_id", F.col("kept").alias("evidence_id"), F.col("n_copies"))
 
 
-QUERIES = {"p3_found": found_copies, "p3_texts": kept_texts}
+QUERIES = {
+    "p2_found": found_levels,
+    "p2_agreement": case_agreement,
+    "p2_reliability": adjudicator_reliability,
+    "p3_found": found_copies,
+    "p3_texts": kept_texts,
+}
 
 
 def _t(column: str) -> str:
