@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpuskel.functions.keys import latest_rows, tidy
-from korpuskel.llm import consensus, copies
-from korpuskel.session import read_table
+from korpuskel.llm import consensus, copies, mixing, packing, tokens
+from korpuskel.session import cut, read_table
 
 
 #: The levels a case can have. Fixed values.
@@ -73,12 +73,57 @@ def kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("corpus_release_id", F.col("kept").alias("evidence_id"), F.col("n_copies"))
 
 
+CONTEXT_TOKENS = 2048
+
+
+def _sized(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, int]:
+    docs = read_table(spark, sf_dir, "documents")
+    return tokens.with_token_counts(docs.select("doc_id", *more, "text"), "text"), docs.count()
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of 2,048 tokens with the documents in each."""
+    sized, rows = _sized(spark, sf_dir)
+    packed = packing.pack_items(sized, "doc_id", "n_tokens", CONTEXT_TOKENS, rows)
+    return packed.select(F.col("container_id").alias("context_id"), F.col("ids").alias("doc_ids"), "starts", "sizes", F.col("used").alias("used_tokens"), F.col("unused").alias("unused_tokens"))
+
+
+def context_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of contexts, the least there could be, and the unused space."""
+    packed = contexts(spark, sf_dir)
+    sums = packed.agg(F.count(F.lit(1)).alias("n_contexts"), F.sum("used_tokens").alias("n_tokens"), F.sum("unused_tokens").alias("unused_tokens"))
+    least = F.ceil(F.col("n_tokens") / CONTEXT_TOKENS)
+    return sums.select("n_contexts", least.alias("least_contexts"), "n_tokens", "unused_tokens", F.round(F.try_divide("unused_tokens", F.col("n_contexts") * CONTEXT_TOKENS), 6).alias("unused_share"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized, rows = _sized(spark, sf_dir, "source")
+    named = cut(sized.select("doc_id", F.lower(tidy("source")).alias("source"), "n_tokens"))
+    targets = read_table(spark, sf_dir, "mix_targets").select(F.lower(tidy("source")).alias("source"), "target_share", "max_repeats")
+    rated = mixing.rates(named, targets)
+    return mixing.draw(named, rated, rows), rated
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn for the mixture with their repeats."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def mix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": found_levels,
     "p2_agreement": case_agreement,
     "p2_reliability": adjudicator_reliability,
     "p3_found": found_copies,
     "p3_texts": kept_texts,
+    "p6_contexts": contexts,
+    "p6_report": context_report,
+    "p7_draws": draws,
+    "p7_shares": mix_shares,
 }
 
 
