@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,22 @@ def build_session(app: str = "korpuskel", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_korpuskel_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        shutil.copytree(package, Path(folder, "zip", package.name), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="korpuskel-"), package.name)), "zip", Path(folder, "zip"))
+    context.addPyFile(archive)
+    context._korpuskel_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
