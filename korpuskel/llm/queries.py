@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpuskel.functions.keys import latest_rows, tidy
-from korpuskel.llm import consensus, copies, mixing, packing, tokens
+from korpuskel.llm import consensus, copies, mixing, packing, subjects, tokens
 from korpuskel.session import cut, read_table
 
 
@@ -114,6 +114,33 @@ def mix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "subject_labels").select("doc_id", tidy("subject").alias("subject"))
+    known = read_table(spark, sf_dir, "subjects").select(tidy("subject").alias("subject")).dropna().distinct().orderBy("subject")
+    areas = [row["subject"] for row in known.collect()]  # the 12 rows of a fixed table
+    features = subjects.featurise(docs, "doc_id", "text", labels, areas)
+    return subjects.areas_of(features, subjects.train(features, areas))
+
+
+def found_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of each document."""
+    return _areas(spark, sf_dir).select("doc_id", "subject")
+
+
+def area_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of each document with their share of its sentences."""
+    return _areas(spark, sf_dir).select("doc_id", "subject", F.round("share", 6).alias("share"), "n_sentences", "n_about")
+
+
+def area_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of the corpus by area."""
+    found = _areas(spark, sf_dir)
+    return found.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum((F.round(F.col("share") * F.col("n_about"))).cast("long")).alias("n_sentences")
+    )
+
+
 QUERIES = {
     "p2_found": found_levels,
     "p2_agreement": case_agreement,
@@ -124,6 +151,9 @@ QUERIES = {
     "p6_report": context_report,
     "p7_draws": draws,
     "p7_shares": mix_shares,
+    "p8_found": found_areas,
+    "p8_shares": area_shares,
+    "p8_composition": area_make_up,
 }
 
 
