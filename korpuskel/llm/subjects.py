@@ -130,7 +130,6 @@ class Model:
 
     areas: list[str]
     weights: np.ndarray  # feature, area
-    priors: np.ndarray  # log odds of an area against none, without evidence
     slope: np.ndarray
     offset: np.ndarray
 
@@ -177,14 +176,14 @@ def _given(batch: pa.RecordBatch, areas: int) -> np.ndarray:
     return given
 
 
-def _expect(scores: np.ndarray, priors: np.ndarray, given: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _expect(scores: np.ndarray, given: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Shares of the areas in each sentence (the rest is no area), from its score and its document.
 
     An area gains by the share that it has in the other sentences and the labels of the document.
     """
     share, gain = np.zeros_like(scores), 0.0
     for _ in range(2):
-        odds = scores + priors + gain
+        odds = scores - CLEAR + gain
         top = np.maximum(odds.max(1, keepdims=True), 0)
         share = np.exp(odds - top)
         share /= share.sum(1, keepdims=True) + np.exp(-top)
@@ -198,7 +197,8 @@ def _expect(scores: np.ndarray, priors: np.ndarray, given: np.ndarray, doc: np.n
 def _counts(features: DataFrame, areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature counts per area and overall, and expected sentences per area (last: all), over all rows.
 
-    Without a model the areas of a row are its labels in equal parts.
+    Without a model the areas of a row are its labels in equal parts, and each
+    labelled row counts as one sentence, lest a long one with a wrong label prevail.
     """
     sent = features.sparkSession.sparkContext.broadcast(model)
 
@@ -211,9 +211,10 @@ def _counts(features: DataFrame, areas: int, model: Model | None) -> tuple[np.nd
                 continue
             given = _given(batch, areas)
             if model is None:
-                share = (given / np.maximum(1, given.sum(1, keepdims=True)))[doc]
+                length = np.bincount(doc, minlength=batch.num_rows)
+                share = (given / np.maximum(1, given.sum(1) * length)[:, None])[doc]
             else:
-                share = _expect(_scores(flat, of, len(doc), model.weights), model.priors, given, doc)
+                share = _expect(_scores(flat, of, len(doc), model.weights), given, doc)
             for a in range(areas):
                 total[:FEATURES, a] += np.bincount(flat, share[of, a], FEATURES)
             total[:FEATURES, areas] += np.bincount(flat, minlength=FEATURES)
@@ -233,12 +234,6 @@ def _counts(features: DataFrame, areas: int, model: Model | None) -> tuple[np.nd
     return out[:FEATURES, :areas], out[:FEATURES, areas], out[FEATURES]
 
 
-def _priors(sums: np.ndarray) -> np.ndarray:
-    """An area begins behind no area by its rarity and by what counts as clear evidence."""
-    shares = (sums[:-1] + 1) / (sums[-1] + len(sums))
-    return np.log(shares / shares.max()) - CLEAR
-
-
 def _calibrate(labelled: DataFrame, model: Model) -> Model:
     """Slope and offset of each area's posterior, from scores of the sentences of labelled documents.
 
@@ -283,16 +278,22 @@ def _logistic(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, fl
     return max(0.2, float(w[0])), float(w[1])
 
 
-def train(features: DataFrame, areas: list[str], rounds: int = 4) -> Model:
-    """The model from all rows of a frame of ``featurise``."""
-    labelled = features.where(F.col("labels").isNotNull())
+def train(features: DataFrame, areas: list[str], rounds: int = 5) -> Model:
+    """The model from all rows of a frame of ``featurise``.
+
+    The counts of the labelled documents, scaled up to the corpus, are held
+    against the counts of the whole corpus from the start: a word that is rare
+    among labels but usual elsewhere (as all words of a rare language are)
+    tells nothing.
+    """
     n = len(areas)
-    counts, total, sums = _counts(labelled, n, None)
-    model = Model(areas, weigh(counts, total), _priors(sums), np.ones(n), np.full(n, -CLEAR))
+    counts, total, sums = _counts(features, n, None)
+    scale = sums[-1] / max(1.0, sums[:-1].sum())
+    model = Model(areas, weigh(np.minimum(counts * scale, total[:, None]), total), np.ones(n), np.full(n, -CLEAR))
     for _ in range(rounds):
-        counts, total, sums = _counts(features, n, model)
-        model.weights, model.priors = weigh(counts, total), _priors(sums)
-    return _calibrate(labelled, model)
+        counts, total, _ = _counts(features, n, model)
+        model.weights = weigh(counts, total)
+    return _calibrate(features.where(F.col("labels").isNotNull()), model)
 
 
 def areas_of(features: DataFrame, model: Model, least_share: float = 0.25) -> DataFrame:
