@@ -14,8 +14,12 @@ FORMATTING = r"\p{P}\p{Z}\p{Cc}\p{Cf}\s\x{034F}\x{115F}\x{1160}\x{3164}\x{FFA0}\
 BLANK = r"\p{Z}\p{Cc}\p{Cf}\s\x{034F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}"
 #: What stays of a text: other characters, and runs of digits with the formatting between digits.
 CONTENT = rf"[^{FORMATTING}\p{{Nd}}]+|\p{{Nd}}+(?:[{FORMATTING}]+\p{{Nd}}+)*"
-_GONE = rf"(?<![{FORMATTING}\p{{Nd}}])[{FORMATTING}]++|[{FORMATTING}]++(?!\p{{Nd}})"
+# The same class for Java, which turns ASCII letters and digits away at the first step.
+_FAST = rf"[[^A-Za-z0-9]&&[{FORMATTING}]]"
+_BEFORE_OTHERS = rf"{_FAST}++(?!\p{{Nd}})"
+_BEFORE_DIGITS = rf"(?=[^A-Za-z0-9])(?<!\p{{Nd}}|{_FAST}){_FAST}++"
 LINE_BREAK = r"\r\n|[\n\x{0B}\x{0C}\r\x{85}\x{2028}\x{2029}]"
+_LINE_MARK = "\ue000"  # private use: no formatting character, so it stays
 CELL = r"^[A-Z]{1,3}[0-9]+="
 
 MAX_HOT_KEYS = 4096
@@ -23,7 +27,7 @@ MAX_HOT_KEYS = 4096
 
 def bare(text: Column) -> Column:
     """A text in upper case without formatting characters, but for those between two digits."""
-    return F.upper(F.regexp_replace(text, _GONE, ""))
+    return F.upper(F.regexp_replace(F.regexp_replace(text, _BEFORE_OTHERS, ""), _BEFORE_DIGITS, ""))
 
 
 def is_blank(text: Column) -> Column:
@@ -31,12 +35,15 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(f"[^{BLANK}]"), F.lit(True))
 
 
-def bare_rows(text: Column) -> Column:
-    """As ``bare``; if each non-blank line begins with a cell address and =, with its lines in order."""
-    lines = F.filter(F.transform(F.split(text, LINE_BREAK), bare), lambda line: line != "")
-    cells = (F.size(lines) > 1) & F.forall(lines, lambda line: line.rlike(CELL))
-    # Splitting costs more than looking for the sign that every such text has.
-    return F.when(text.contains("=") & cells, F.array_join(F.array_sort(lines), "")).otherwise(bare(text))
+def bare_rows(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``bare`` of ``text`` as ``out``; if each non-blank line begins with a cell address and =, with its lines in order.
+
+    The lines get a column of their own, so that they are made once.
+    """
+    lines = F.split(bare(F.regexp_replace(text, LINE_BREAK, _LINE_MARK)), _LINE_MARK)
+    lined = df.withColumn("_lines", F.when(F.col(text).contains("="), F.filter(lines, lambda line: line != "")))
+    cells = (F.size("_lines") > 1) & F.forall("_lines", lambda line: line.rlike(CELL))
+    return lined.withColumn(out, F.when(cells, F.array_join(F.array_sort("_lines"), "")).otherwise(bare(F.col(text)))).drop("_lines")
 
 
 def fingerprint(*texts: Column) -> Column:

@@ -49,10 +49,10 @@ def adjudicator_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     evidence = read_table(spark, sf_dir, "corpus_evidence")
-    exact = F.col("content_exact")
-    print_of = F.when(~copies.is_blank(exact), copies.fingerprint(copies.bare_rows(exact), copies.bare(F.col("content_search"))))
+    bared = copies.bare_rows(evidence.select("corpus_release_id", "evidence_id", "delivered_at", "content_exact", "content_search"), "content_exact", "bare_exact")
+    print_of = F.when(~copies.is_blank(F.col("content_exact")), copies.fingerprint(F.col("bare_exact"), copies.bare(F.col("content_search"))))
     counting = latest_rows(
-        evidence,
+        bared,
         {"corpus_release_id": tidy("corpus_release_id"), "evidence_id": tidy("evidence_id")},
         F.col("delivered_at"),
         {"text_print": print_of},
