@@ -14,10 +14,18 @@ FORMATTING = r"\p{P}\p{Z}\p{Cc}\p{Cf}\s\x{034F}\x{115F}\x{1160}\x{3164}\x{FFA0}\
 BLANK = r"\p{Z}\p{Cc}\p{Cf}\s\x{034F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}"
 #: What stays of a text: other characters, and runs of digits with the formatting between digits.
 CONTENT = rf"[^{FORMATTING}\p{{Nd}}]+|\p{{Nd}}+(?:[{FORMATTING}]+\p{{Nd}}+)*"
-# The same class for Java, which turns ASCII letters and digits away at the first step.
-_FAST = rf"[[^A-Za-z0-9]&&[{FORMATTING}]]"
-_BEFORE_OTHERS = rf"{_FAST}++(?!\p{{Nd}})"
-_BEFORE_DIGITS = rf"(?=[^A-Za-z0-9])(?<!\p{{Nd}}|{_FAST}){_FAST}++"
+# The same classes among ASCII characters alone, which Java looks up in a table. Fixed values.
+_PLAIN = r"\x00-\x20\x7F!\"#%&'()*,\-./:;?@\[\\\]_{}"
+
+
+def _formatting_runs(members: str, digit: str) -> str:
+    """Runs of formatting but for those between two digits; other characters fail at the first look."""
+    return rf"(?=[{members}])(?:[{members}]++(?!{digit})|(?<!{digit}|[{members}])[{members}]++)"
+
+
+_PLAIN_RUNS = _formatting_runs(_PLAIN, "[0-9]")
+_ALL_RUNS = _formatting_runs(rf"{_PLAIN}[[^\x00-\x7F]&&[{FORMATTING}]]", r"\p{Nd}")
+_NOT_PLAIN = r"[^\x00-\x7F]"
 LINE_BREAK = r"\r\n|[\n\x{0B}\x{0C}\r\x{85}\x{2028}\x{2029}]"
 _LINE_MARK = "\ue000"  # private use: no formatting character, so it stays
 CELL = r"^[A-Z]{1,3}[0-9]+="
@@ -27,7 +35,8 @@ MAX_HOT_KEYS = 4096
 
 def bare(text: Column) -> Column:
     """A text in upper case without formatting characters, but for those between two digits."""
-    return F.upper(F.regexp_replace(F.regexp_replace(text, _BEFORE_OTHERS, ""), _BEFORE_DIGITS, ""))
+    left = F.when(text.rlike(_NOT_PLAIN), F.regexp_replace(text, _ALL_RUNS, "")).otherwise(F.regexp_replace(text, _PLAIN_RUNS, ""))
+    return F.upper(left)
 
 
 def is_blank(text: Column) -> Column:
