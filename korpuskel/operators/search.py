@@ -1,0 +1,122 @@
+"""Exact search: sparse by inverted index, dense in blocks, fusion of ranked lanes, choice without duplicates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from korpuskel.functions import text as X
+
+DIGITS = 9  # scores are compared rounded, so that the order of additions doesn't matter
+
+
+def ranked(scores: DataFrame, query: str | list[str], ident: str, k: int) -> DataFrame:
+    """The ``k`` best rows of each query by (score descending, id), with ``rank`` from 1."""
+    keys = [query] if isinstance(query, str) else query
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(ident))
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def sparse_scores(docs: DataFrame, queries: DataFrame, scope: str, ident: str, query: str, weight: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, ident, score) of all documents of the query's scope that share a token with it.
+
+    ``docs``: scope, ident, text. ``queries``: scope, query, text. Repeated query
+    tokens count once. ``bm25`` weighs a token by ln(1 + (N - df + 0.5) / (df + 0.5))
+    and its saturated, length-normalised count; ``presence`` by ln(1 + N / df).
+    N, df and the mean length are of the whole scope. Only tokens of queries
+    leave the document scan: they are joined before anything is shuffled.
+    """
+    sized = docs.select(scope, ident, X.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
+    asked = queries.select(scope, query, F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    wanted = asked.select(scope, "term").distinct()
+    hits = sized.select(scope, ident, "n", F.explode("tokens").alias("term")).join(wanted, [scope, "term"], "left_semi")
+    postings = hits.groupBy(scope, ident, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = postings.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    whole = sized.groupBy(scope).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_n"))
+    terms = asked.join(df, [scope, "term"]).join(whole, scope)
+    if weight == "bm25":
+        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        value = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_n")))
+    else:
+        value = F.log(1 + F.col("docs") / F.col("df"))
+    return postings.join(terms, [scope, "term"]).groupBy(query, ident).agg(F.round(F.sum(value), DIGITS).alias("score"))
+
+
+def fuse(lanes: DataFrame, weights: dict[str, float], query: str, ident: str, k: int = 60) -> DataFrame:
+    """Weighted reciprocal rank fusion of (lane, query, ident, rank): sum of weight / (k + rank); lanes without weight are left out."""
+    weight: Column = F.lit(None).cast("double")
+    for lane, w in weights.items():
+        weight = F.when(F.col("lane") == lane, F.lit(w)).otherwise(weight)
+    parts = lanes.withColumn("_w", weight).where(F.col("_w") > 0)
+    return parts.groupBy(query, ident).agg(F.round(F.sum(F.col("_w") / (k + F.col("rank"))), DIGITS).alias("score"))
+
+
+def distinct_best(order: DataFrame, query: str, ident: str, content: str, k: int) -> DataFrame:
+    """First of each content along a ranked list wins, then the best ``k``; ``suppressed``: the ids each winner stands for.
+
+    ``order``: query, ident, rank, content print. Result: query, ident, ``place`` from 1, ``suppressed`` in rank order.
+    """
+    best = order.groupBy(query, content).agg(F.min(F.struct("rank", F.col(ident).alias("id"))).alias("first"), F.sort_array(F.collect_list(F.struct("rank", F.col(ident).alias("id")))).alias("all"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy("first.rank"))
+    kept = best.withColumn("place", place).where(F.col("place") <= k)
+    return kept.select(query, F.col("first.id").alias(ident), "place", F.transform(F.slice("all", 2, 1 << 30), lambda x: x["id"]).alias("suppressed"))
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, n_vectors: int, n_queries: int, per_chunk: int = 4096, per_block: int = 1024) -> DataFrame:
+    """(query_id, ident, score): for each query the ``k`` most similar others by cosine, per chunk; rank the union of chunks.
+
+    All rows are held against the whole query set, in blocks: rows are gathered
+    into chunks and queries into blocks of a bounded size, each chunk meets each
+    block once, and a task keeps one product matrix. Vectors that are null,
+    empty, of zero length or of another dimension than the block's first are left out.
+    """
+    chunks, blocks = max(1, -(-n_vectors // per_chunk)), max(1, -(-n_queries // per_block))
+
+    def gathered(df: DataFrame, parts: int, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int").alias(name)
+        item = F.struct(F.col(ident).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        return df.where((F.size(vector) > 0) & F.col(ident).isNotNull()).select(part, item.alias("item")).groupBy(name).agg(F.collect_list("item").alias(f"{name}_items"))
+
+    left = gathered(vectors, chunks, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = left.join(gathered(queries, blocks, "block"), "block").select("chunk_items", "block_items")
+    kind = vectors.schema[ident].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField(ident, kind), T.StructField("score", T.DoubleType())])
+
+    def unit(items: pa.StructArray, width: int | None) -> tuple[list, np.ndarray]:
+        ids, rows = items.field("id").to_pylist(), items.field("v").to_pylist()
+        width = width or (len(rows[0]) if rows else 0)
+        kept = [(i, r) for i, r in zip(ids, rows, strict=True) if len(r) == width and None not in r and any(r)]
+        m = np.array([r for _, r in kept], np.float64).reshape(len(kept), width)
+        return [i for i, _ in kept], m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q = unit(batch.column("block_items")[i].values, None)
+                ids, m = unit(batch.column("chunk_items")[i].values, q.shape[1])
+                out: list[tuple] = []
+                if len(ids) and len(q_ids):
+                    scores = np.round(q @ m.T, DIGITS)
+                    order = np.argsort(np.array(ids), kind="stable")
+                    for row, own in zip(scores, q_ids, strict=True):
+                        best = [j for j in order[np.argsort(-row[order], kind="stable")][: k + 1] if ids[j] != own][:k]
+                        out += [(own, ids[j], float(row[j])) for j in best]
+                columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) if n == 2 else pa.array(list(c), pa.int64()) for n, c in enumerate(columns)], names=schema.names)
+
+    return pairs.mapInArrow(compare, schema)
+
+
+def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Bounds of the Wilson interval; 0 and 1 without trials."""
+    n = trials.cast("double")
+    p = successes / n
+    middle = (p + z * z / (2 * n)) / (1 + z * z / n)
+    half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    none = trials == 0
+    return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), middle - half)), F.when(none, 1.0).otherwise(F.least(F.lit(1.0), middle + half))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from korpuskel.plans import core_problems, text_queries
+from korpuskel.plans import core_problems, search_queries, text_queries
 
-FLAGSHIP = "p1_found"
-_MODULES = [core_problems, text_queries]
+FLAGSHIP = "sparse_topk"
+_MODULES = [core_problems, text_queries, search_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
