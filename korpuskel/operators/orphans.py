@@ -33,9 +33,9 @@ def snapshot_orphans(refs: DataFrame, parents: DataFrame, parent_rows: int) -> D
     """
     words = bloom.words_for(2 * parent_rows)
     known = parents.where(F.col("parent_key").isNotNull() & F.col("parent_ordinal").isNotNull())
-    by_key = known.groupBy("parent_key").agg(F.collect_set("parent_ordinal").alias("_periods"))
-    alone = F.xxhash64("parent_key")
-    paired = F.transform("_periods", lambda o: F.xxhash64(F.col("parent_key"), o))
+    by_key = known.groupBy(F.col("parent_key").alias("_key")).agg(F.collect_set("parent_ordinal").alias("_periods"))
+    alone = F.xxhash64("_key")
+    paired = F.transform("_periods", lambda o: F.xxhash64(F.col("_key"), o))
     hashes = by_key.select(F.explode(F.concat(F.array(alone), paired)).alias("key"))
     filtered = bloom.build(hashes, "key", words)
 
@@ -43,10 +43,10 @@ def snapshot_orphans(refs: DataFrame, parents: DataFrame, parent_rows: int) -> D
     probed = judged.withColumn("_somewhere", bloom.maybe_in(filtered, F.xxhash64("ref_value"), words))
     proved = probed.where(~F.col("_somewhere")).withColumn("orphan_kind", F.lit(MISSING)).drop("_somewhere")
     doubtful = probed.where("_somewhere").withColumn("_here", bloom.maybe_in(filtered, F.xxhash64(F.col("ref_value"), F.col("ordinal")), words))
-    joined = doubtful.join(by_key, doubtful["ref_value"] == by_key["parent_key"], "left")
+    joined = doubtful.join(by_key, F.col("ref_value") == F.col("_key"), "left")
     absent = ~F.col("_here") | ~F.coalesce(F.array_contains("_periods", F.col("ordinal")), F.lit(False))
     kind = F.when(F.array_min("_periods") < F.col("ordinal"), DELETED).when(F.array_max("_periods") > F.col("ordinal"), LATER).otherwise(MISSING)
-    verified = joined.where(absent).withColumn("orphan_kind", kind).drop("_somewhere", "_here", "parent_key", "_periods")
+    verified = joined.where(absent).withColumn("orphan_kind", kind).drop("_somewhere", "_here", "_key", "_periods")
     return proved.unionByName(verified)
 
 
@@ -60,13 +60,13 @@ def registry_orphans(refs: DataFrame, registry: DataFrame, registry_rows: int, a
     a null ``registered_at`` counts as always registered.
     """
     words = bloom.words_for(registry_rows)
-    by_key = registry.where(F.col("parent_key").isNotNull()).groupBy("parent_key").agg(F.collect_set(F.struct("registered_at", "deleted_at")).alias("_entries"))
-    filtered = bloom.build(by_key.select(F.xxhash64("parent_key").alias("key")), "key", words)
+    by_key = registry.where(F.col("parent_key").isNotNull()).groupBy(F.col("parent_key").alias("_key")).agg(F.collect_set(F.struct("registered_at", "deleted_at")).alias("_entries"))
+    filtered = bloom.build(by_key.select(F.xxhash64("_key").alias("key")), "key", words)
     judged = refs.where(F.col("ref_value").isNotNull() & F.col(at).isNotNull())
     probed = judged.withColumn("_maybe", bloom.maybe_in(filtered, F.xxhash64("ref_value"), words))
     proved = probed.where(~F.col("_maybe")).withColumn("orphan_kind", F.lit(MISSING)).drop("_maybe")
     doubtful = probed.where("_maybe")
-    joined = doubtful.join(by_key, doubtful["ref_value"] == by_key["parent_key"], "left")
+    joined = doubtful.join(by_key, F.col("ref_value") == F.col("_key"), "left")
 
     def deleted(e: Column) -> Column:
         return F.coalesce(e["deleted_at"] <= F.col(at), F.lit(False))
@@ -80,7 +80,7 @@ def registry_orphans(refs: DataFrame, registry: DataFrame, registry_rows: int, a
         .when(F.exists("_entries", deleted), DELETED)
         .otherwise(LATER)
     )
-    verified = joined.withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).drop("_maybe", "parent_key", "_entries")
+    verified = joined.withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).drop("_maybe", "_key", "_entries")
     return proved.unionByName(verified)
 
 

@@ -1,0 +1,115 @@
+"""Text, search and registry operators on small cases."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from korpuskel.functions import text as X
+from korpuskel.operators import registry as R
+from korpuskel.operators import search
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([("Dose-finding at 2.5 mg; élève's ẞ.",), (None,), ("",), ("...",)], "t string")
+    got = [r[0] for r in df.select(X.tokens(F.col("t"))).collect()]
+    assert got[0] == ["dose-finding", "at", "2.5", "mg", "élève's", "eleve's", "ss"]
+    assert got[1:] == [[], [], []]
+
+
+def test_term_index_matches_its_definition(spark):
+    terms = ["dose", "é", "", "x" * 500]
+    df = spark.createDataFrame([(t,) for t in terms], "t string").select("t", X.term_index(F.col("t"), "s", 1 << 20).alias("i"))
+    for row in df.collect():
+        assert row.i == int.from_bytes(hashlib.sha256(f"s\0{row.t}".encode()).digest()[:4], "little") % (1 << 20)
+
+
+def test_cells(spark):
+    text = "A7=one\nC7=two\nmore\nB7=back\nD8=other row\nAA7=last"
+    df = spark.createDataFrame([(text,), ("plain",), (None,), ("A1=",)], "t string")
+    got = [r[0] for r in df.select(X.cells(F.col("t"))).collect()]
+    assert [(c.column, c.row, c.value) for c in got[0]] == [("A", "7", "one"), ("C", "7", "two\nmore\nB7=back\nD8=other row"), ("AA", "7", "last")]
+    assert got[1] is None and got[2] is None
+    assert [(c.column, c.value) for c in got[3]] == [("A", "")]
+
+
+def test_designed_scores(spark):
+    """Rare terms weigh more; scores are those of the formula."""
+    texts = ["a b b c", "a c", "a d e", "a", None, ""]
+    docs = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "scope string, id int, text string")
+    queries = spark.createDataFrame([("r", "q", "b b c zzz"), ("r", "none", "zzz"), ("other", "far", "a"), ("r", "null", None)], "scope string, q string, text string")
+    got = {(r.q, r.id): r.score for r in search.sparse_scores(docs, queries, "scope", "id", "q").collect()}
+    held = [t.split() for t in texts if t]
+    mean = sum(map(len, held)) / len(held)
+    want = defaultdict(float)
+    for i, words in enumerate(held):
+        for term in ("b", "c"):
+            tf, df = Counter(words)[term], sum(term in w for w in held)
+            if tf:
+                want["q", i] += math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_fusion_and_distinct_choice(spark):
+    lanes = spark.createDataFrame([("x", "q", "a", 1), ("x", "q", "b", 2), ("y", "q", "b", 1), ("z", "q", "c", 1)], "lane string, q string, id string, rank int")
+    got = {r.id: r.score for r in search.fuse(lanes, {"x": 0.6, "y": 0.4}, "q", "id").collect()}
+    assert got == {"a": pytest.approx(0.6 / 61), "b": pytest.approx(0.6 / 62 + 0.4 / 61)}
+    order = spark.createDataFrame([("q", "a", 1, "p"), ("q", "b", 2, "p"), ("q", "c", 3, "r"), ("q", "d", 4, "s"), ("q", "e", 9, "s")], "q string, id string, rank int, p string")
+    rows = search.distinct_best(order, "q", "id", "p", 2).collect()
+    assert sorted((r.place, r.id, tuple(r.suppressed)) for r in rows) == [(1, "a", ("b",)), (2, "c", ())]
+
+
+def test_dense_blocks_match_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(90, 8))
+    m[5] = m[6]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(200, None), (201, []), (202, [0.0] * 8), (203, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    scores = search.dense_scores(df, df.where("id % 10 = 0 AND id < 100"), "id", "v", 4, 94, 9, per_chunk=25, per_block=4)
+    got = {(r.query_id, r["rank"]): r.id for r in search.ranked(scores, "query_id", "id", 4).collect()}
+    f = m.astype(np.float32).astype(float)
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    for q in range(0, 90, 10):
+        s = np.round(f @ f[q], 9)
+        best = [i for i in sorted(range(90), key=lambda i: (-s[i], i)) if i != q][:4]
+        assert [got[q, k] for k in (1, 2, 3, 4)] == best
+
+
+def test_wilson(spark):
+    low, high = search.wilson(F.col("k"), F.col("n"))
+    rows = spark.createDataFrame([(0, 0), (246, 255), (5, 5)], "k int, n int").select(low.alias("l"), high.alias("h")).collect()
+    assert (rows[0].l, rows[0].h) == (0.0, 1.0)
+    assert rows[1].l == pytest.approx(0.9343, abs=1e-4)
+    assert rows[2].h == 1.0
+
+
+def test_reachable_with_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "x"), ("a", "b")], "s string, e string")
+    got = {(r.s, r.e): r.steps for r in R.reachable(edges, "s", "e").collect()}
+    assert got["a", "d"] == 3 and got["a", "a"] == 3 and ("d", "a") not in got
+    assert R.reachable(edges.limit(0), "s", "e").count() == 0
+
+
+def test_neighbourhood_and_fill(spark):
+    rows = spark.createDataFrame([("t", i) for i in range(-5, 20)] + [("u", 3), (None, 3)], "scope string, pos int")
+    near = R.neighbourhood(spark.createDataFrame([("t", 0), ("t", 7)], "scope string, pos int"), rows, "scope", "pos", 2)
+    assert sorted((r.anchor_pos, r.pos) for r in near.collect()) == [(0, p) for p in range(-2, 3)] + [(7, p) for p in range(5, 10)]
+    values = spark.createDataFrame([("g", 1, None), ("g", 2, "h"), ("g", 3, None), ("k", 1, None)], "g string, o int, v string")
+    assert [r.f for r in R.fill_forward(values, ["g"], ["o"], "v", "f").orderBy("g", "o").collect()] == [None, "h", "h", None]
+
+
+def test_appends_and_digests(spark):
+    stored = spark.createDataFrame([("a", 1)], "k string, v int")
+    incoming = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2), (None, 1)], "k string, v int")
+    assert [tuple(r) for r in R.new_rows(incoming, stored, ["k"], ["v"]).collect()] == [("b", 2)]
+    one = R.set_digest(spark.createDataFrame([("g", "1", "x"), ("g", "2", "y")], "g string, i string, c string"), ["g"], F.col("i"), F.col("c")).first()
+    two = R.set_digest(spark.createDataFrame([("g", "2", "y"), ("g", "1", "x"), ("g", "1", "x")], "g string, i string, c string"), ["g"], F.col("i"), F.col("c")).first()
+    other = R.set_digest(spark.createDataFrame([("g", "2", "x"), ("g", "1", "y")], "g string, i string, c string"), ["g"], F.col("i"), F.col("c")).first()
+    assert one.digest == two.digest != other.digest and one.n_members == 2
