@@ -35,6 +35,7 @@ SELECT = 0.7  # a feature counts for an area from this log ratio on
 SMOOTH = 1.0
 CLEAR = 4.0  # log odds, in expectation steps, of no area against an area without evidence
 CONTEXT = 4.0  # log odds, in expectation steps, that an area gains where its document is all about it
+LONG = 64  # sentences; a longer document weighs as much as one of this length in expectation steps
 MAX_LABELLED = 200_000  # documents; bounds what is broadcast
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -195,40 +196,42 @@ def _expect(scores: np.ndarray, given: np.ndarray, doc: np.ndarray) -> np.ndarra
 
 
 def _counts(features: DataFrame, areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature counts per area and overall, and expected sentences per area (last: all), over all rows.
+    """Feature counts per area and overall, and sums over all sentences: shares of the areas, weights, number.
 
-    Without a model the areas of a row are its labels in equal parts, and each
-    labelled row counts as one sentence, lest a long one with a wrong label prevail.
+    Without a model the areas of a row are its labels in equal parts, and each row
+    weighs as one sentence, lest a long one with a wrong label prevail.
     """
     sent = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        total = np.zeros((FEATURES + 1, areas + 1))
+        total = np.zeros((FEATURES + 1, areas + 2))
         for batch in _small(batches):
             flat, of, doc = _arrays(batch)
             if not len(doc):
                 continue
-            given = _given(batch, areas)
+            given, length = _given(batch, areas), np.bincount(doc, minlength=batch.num_rows)[doc]
             if model is None:
-                length = np.bincount(doc, minlength=batch.num_rows)
-                share = (given / np.maximum(1, given.sum(1) * length)[:, None])[doc]
+                weight = 1 / length
+                share = (given / np.maximum(1, given.sum(1, keepdims=True)))[doc]
             else:
+                weight = np.minimum(1, LONG / length)
                 share = _expect(_scores(flat, of, len(doc), model.weights), given, doc)
+            share = share * weight[:, None]
             for a in range(areas):
                 total[:FEATURES, a] += np.bincount(flat, share[of, a], FEATURES)
-            total[:FEATURES, areas] += np.bincount(flat, minlength=FEATURES)
-            total[FEATURES] += [*share.sum(0), len(doc)]
+            total[:FEATURES, areas] += np.bincount(flat, weight[of], FEATURES)
+            total[FEATURES] += [*share.sum(0), weight.sum(), len(doc)]
         used = np.flatnonzero(total[:, areas])
         for at in range(0, len(used), 20_000):
             part = used[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(total[part, i]) for i in range(areas + 1)]], names=["f", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(total[part, i]) for i in range(areas + 2)]], names=["f", *names])
 
-    names = [f"c{i}" for i in range(areas + 1)]
+    names = [f"c{i}" for i in range(areas + 2)]
     schema = T.StructType([T.StructField("f", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
     summed = features.mapInArrow(run, schema).groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     sent.unpersist()
-    out = np.zeros((FEATURES + 1, areas + 1))
+    out = np.zeros((FEATURES + 1, areas + 2))
     if summed.num_rows:
         out[np.asarray(summed["f"])] = np.column_stack([np.asarray(summed[n]) for n in names])
     return out[:FEATURES, :areas], out[:FEATURES, areas], out[FEATURES]
@@ -288,7 +291,8 @@ def train(features: DataFrame, areas: list[str], rounds: int = 5) -> Model:
     """
     n = len(areas)
     counts, total, sums = _counts(features, n, None)
-    scale = sums[-1] / max(1.0, sums[:-1].sum())
+    total *= (longer := sums[-1] / max(1.0, sums[-2]))  # as if all documents had the mean length
+    scale = longer * sums[-2] / max(1.0, sums[:-2].sum())
     model = Model(areas, weigh(np.minimum(counts * scale, total[:, None]), total), np.ones(n), np.full(n, -CLEAR))
     for _ in range(rounds):
         counts, total, _ = _counts(features, n, model)
