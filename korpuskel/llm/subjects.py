@@ -157,6 +157,8 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _scores(features: np.ndarray, of: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
     out = np.zeros((n, weights.shape[1]))
+    telling = weights.any(1)[features]
+    features, of = features[telling], of[telling]
     for a in range(weights.shape[1]):
         out[:, a] = np.bincount(of, weights[features, a], n)
     return out
