@@ -48,7 +48,8 @@ def unaccented(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words, each followed by its form without accents where that differs."""
-    return F.flatten(F.transform(words(text), lambda w: F.when(unaccented(w) != w, F.array(w, unaccented(w))).otherwise(F.array(w))))
+    both = F.flatten(F.transform(words(text), lambda w: F.when(unaccented(w) != w, F.array(w, unaccented(w))).otherwise(F.array(w))))
+    return F.when(fold_case(text).rlike(f"[{ACCENTED}]"), both).otherwise(words(text))
 
 
 def search_view(text: Column) -> Column:

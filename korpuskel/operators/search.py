@@ -22,8 +22,8 @@ def ranked(scores: DataFrame, query: str | list[str], ident: str, k: int) -> Dat
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_scores(docs: DataFrame, queries: DataFrame, scope: str, ident: str, query: str, weight: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, ident, score) of all documents of the query's scope that share a token with it.
+def sparse_scores(docs: DataFrame, queries: DataFrame, scope: str, ident: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, ident, ``bm25``, ``presence``) of all documents of the query's scope that share a token with it.
 
     ``docs``: scope, ident, text. ``queries``: scope, query, text. Repeated query
     tokens count once. ``bm25`` weighs a token by ln(1 + (N - df + 0.5) / (df + 0.5))
@@ -31,20 +31,20 @@ def sparse_scores(docs: DataFrame, queries: DataFrame, scope: str, ident: str, q
     N, df and the mean length are of the whole scope. Only tokens of queries
     leave the document scan: they are joined before anything is shuffled.
     """
-    sized = docs.select(scope, ident, X.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
+    sized = docs.select(scope, ident, X.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
     asked = queries.select(scope, query, F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     wanted = asked.select(scope, "term").distinct()
     hits = sized.select(scope, ident, "n", F.explode("tokens").alias("term")).join(wanted, [scope, "term"], "left_semi")
     postings = hits.groupBy(scope, ident, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    whole = sized.groupBy(scope).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_n"))
+    # A filter on n would be pushed below the tokens and make them twice.
+    whole = sized.groupBy(scope).agg(F.count_if(F.col("n") > 0).alias("docs"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean_n"))
     terms = asked.join(df, [scope, "term"]).join(whole, scope)
-    if weight == "bm25":
-        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        value = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_n")))
-    else:
-        value = F.log(1 + F.col("docs") / F.col("df"))
-    return postings.join(terms, [scope, "term"]).groupBy(query, ident).agg(F.round(F.sum(value), DIGITS).alias("score"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    bm25 = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_n")))
+    presence = F.log(1 + F.col("docs") / F.col("df"))
+    added = {"bm25": bm25, "presence": presence}
+    return postings.join(terms, [scope, "term"]).groupBy(query, ident).agg(*[F.round(F.sum(v), DIGITS).alias(n) for n, v in added.items()])
 
 
 def fuse(lanes: DataFrame, weights: dict[str, float], query: str, ident: str, k: int = 60) -> DataFrame:

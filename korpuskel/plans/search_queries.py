@@ -41,22 +41,19 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.where(F.regexp_extract("case_id", r"([0-9]+)$", 1).try_cast("bigint") % 100 == 0)
 
 
-def _lane(spark: SparkSession, sf_dir: str, weight: str) -> DataFrame:
-    scores = search.sparse_scores(_evidence(spark, sf_dir), _cases(spark, sf_dir).select("case_id", "corpus_release_id", "text"), "corpus_release_id", "evidence_id", "case_id", weight)
-    return search.ranked(scores, "case_id", "evidence_id", POOL)
+def _lanes(spark: SparkSession, sf_dir: str, *weights: str) -> DataFrame:
+    """(lane, case_id, evidence_id, score, rank) of the best of each lane; all lanes come from one pass over the postings."""
+    scores = search.sparse_scores(_evidence(spark, sf_dir), _cases(spark, sf_dir).select("case_id", "corpus_release_id", "text"), "corpus_release_id", "evidence_id", "case_id")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("lane"), F.col(w).alias("score")) for w in weights or WEIGHTS]))
+    return search.ranked(scores.select("case_id", "evidence_id", each.alias("l")).select("case_id", "evidence_id", "l.*"), ["lane", "case_id"], "evidence_id", POOL)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lane(spark, sf_dir, "bm25").where(F.col("rank") <= DEPTH).select("case_id", "evidence_id", "rank", F.round("score", 6).alias("score"))
+    return _lanes(spark, sf_dir, "bm25").where(F.col("rank") <= DEPTH).select("case_id", "evidence_id", "rank", F.round("score", 6).alias("score"))
 
 
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lane(spark, sf_dir, "presence").where(F.col("rank") <= DEPTH).select("case_id", "evidence_id", "rank", F.round("score", 6).alias("score"))
-
-
-def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bm25, presence = (_lane(spark, sf_dir, w).select(F.lit(w).alias("lane"), "case_id", "evidence_id", "rank") for w in WEIGHTS)
-    return bm25.unionByName(presence)
+    return _lanes(spark, sf_dir, "presence").where(F.col("rank") <= DEPTH).select("case_id", "evidence_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:

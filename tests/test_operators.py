@@ -42,7 +42,7 @@ def test_designed_scores(spark):
     texts = ["a b b c", "a c", "a d e", "a", None, ""]
     docs = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "scope string, id int, text string")
     queries = spark.createDataFrame([("r", "q", "b b c zzz"), ("r", "none", "zzz"), ("other", "far", "a"), ("r", "null", None)], "scope string, q string, text string")
-    got = {(r.q, r.id): r.score for r in search.sparse_scores(docs, queries, "scope", "id", "q").collect()}
+    got = {(r.q, r.id): r.bm25 for r in search.sparse_scores(docs, queries, "scope", "id", "q").collect()}
     held = [t.split() for t in texts if t]
     mean = sum(map(len, held)) / len(held)
     want = defaultdict(float)
