@@ -120,8 +120,8 @@ def triples(text: str, embedded: frozenset[str] = frozenset(), path: str = "", p
 
 
 @lru_cache(maxsize=65536)
-def _grouping(path: str, repeated: frozenset[str]) -> tuple[str, str, tuple[int | None, ...]] | None:
-    """Innermost repeated ancestor of a path, the path below it, and where its positions come from.
+def _grouping(path: str, repeated: frozenset[str]) -> tuple[str, str, tuple[int | None, ...], int] | None:
+    """Innermost repeated ancestor of a path, the path below it, where its positions come from, and how many lists the path passes down to it.
 
     A lone value where a list is usual counts as a list of one: None stands for
     its position, 0. Nothing for a path under no repeated ancestor.
@@ -134,19 +134,19 @@ def _grouping(path: str, repeated: frozenset[str]) -> tuple[str, str, tuple[int
         names.append(name)
         if ".".join(names) in repeated and marks < 2:
             sources.append(passed if marks else None)
-            found = (".".join(names), ".".join(parts[i + 1 :]), tuple(sources))
+            found = (".".join(names), ".".join(parts[i + 1 :]), tuple(sources), passed + marks)
         else:
             sources += range(passed, passed + marks)
         passed += marks
     return found
 
 
-def nodes_of(text: str | None, repeated: frozenset[str], embedded: frozenset[str]) -> list[tuple[str, tuple[int, ...], dict[str, str]]]:
-    """Elements of the lists in ``repeated`` as (list path, ordinals, values by path below the element).
+def nodes_of(text: str | None, repeated: frozenset[str], embedded: frozenset[str]) -> list[tuple[str, tuple[int, ...], dict[str, str], dict[str, dict[tuple[int, ...], str]]]]:
+    """Elements of the lists in ``repeated`` as (list path, ordinals, values by path below the element, values of lists below it by path and ordinals).
 
     Triples are grouped by their innermost repeated ancestor. Null values are
-    left out; of several values for one path the last counts. Nothing for a
-    null text, or one that isn't a complete JSON object.
+    left out; of several values for one path and ordinals the last counts.
+    Nothing for a null text, or one that isn't a complete JSON object.
     """
     if text is None:
         return []
@@ -156,13 +156,17 @@ def nodes_of(text: str | None, repeated: frozenset[str], embedded: frozenset[str
         found = list(triples(text, embedded))
     except Damaged:
         return []
-    groups: dict[tuple[str, tuple[int, ...]], dict[str, str]] = {}
+    groups: dict[tuple[str, tuple[int, ...]], tuple[dict, dict]] = {}
     for path, places, value in found:
         if value is not None and (known := _grouping(path, repeated)):
-            head, leaf, sources = known
+            head, leaf, sources, passed = known
             own = tuple(0 if i is None else places[i] for i in sources)
-            groups.setdefault((head, own), {})[leaf] = value
-    return [(head, places, values) for (head, places), values in groups.items()]
+            values, lists = groups.setdefault((head, own), ({}, {}))
+            if below := places[passed:]:
+                lists.setdefault(leaf, {})[below] = value
+            else:
+                values[leaf] = value
+    return [(head, places, values, lists) for (head, places), (values, lists) in groups.items()]
 
 
 def _parent(head: str, places: tuple[int, ...], repeated: frozenset[str]) -> str:
@@ -183,6 +187,7 @@ NODE_FIELDS = [
     T.StructField("node_pos", T.IntegerType()),
     T.StructField("places", T.ArrayType(T.IntegerType())),
     T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("value", T.StringType())])))),
 ]
 
 
@@ -191,7 +196,9 @@ def flatten(records: DataFrame, key: str, payload: str, repeated: list[str], emb
 
     Result: ``key``, ``list_path`` (content.assets), ``parent_path`` (path of the
     object holding the list, as content.assets[2]), ``node_pos``, ``places``
-    (positions from the root, which link parent and child) and ``fields``.
+    (positions from the root, which link parent and child), ``fields``, and
+    ``lists``: the values of each list below the element that isn't in
+    ``repeated``, by path (bbox[]), with their positions below the element.
     Positions count null elements. Repeated records give repeated rows. Records
     without a complete JSON object give none.
     """
@@ -199,14 +206,16 @@ def flatten(records: DataFrame, key: str, payload: str, repeated: list[str], emb
     source = records.select(F.col(key).alias(key), F.col(payload).cast("string").alias("payload"))
     schema = T.StructType([source.schema[key], *NODE_FIELDS])
     kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string())]
+    kinds.append(pa.map_(pa.string(), pa.list_(pa.struct([("places", pa.list_(pa.int32())), ("value", pa.string())]))))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for head, places, values in nodes_of(text, wanted, inside):
+                for head, places, values, lists in nodes_of(text, wanted, inside):
                     ids.append(i)
-                    rows.append((head, _parent(head, places, wanted), places[-1], places, list(values.items())))
+                    below = [(path, [{"places": p, "value": v} for p, v in items.items()]) for path, items in lists.items()]
+                    rows.append((head, _parent(head, places, wanted), places[-1], places, list(values.items()), below))
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             data = [batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(data, names=[key, *[f.name for f in NODE_FIELDS]])
@@ -214,6 +223,24 @@ def flatten(records: DataFrame, key: str, payload: str, repeated: list[str], emb
     return source.mapInArrow(parse, schema)
 
 
+def items(path: str) -> Column:
+    """A list of scalars below the element as an array of text, each value at its position; a lone value is a list of one."""
+    held = F.col("lists")[path + MARK]
+    places = F.sequence(F.lit(0), F.array_max(F.transform(held, lambda x: x["places"][0])))
+    each = F.transform(places, lambda i: F.get(F.filter(held, lambda x: x["places"][0] == i), F.lit(0))["value"])
+    alone = F.col("fields")[path]
+    return F.coalesce(each, F.when(alone.isNotNull(), F.array(alone)))
+
+
+def under(path: str) -> Column:
+    """All values below a part of the element, in lists or not, as sorted (path below the part, places, value); empty if there are none."""
+    start = f"{path}."
+    cut = lambda name: F.substring(name, len(start) + 1, 1 << 30)
+    lone = F.transform(F.map_entries(F.map_filter("fields", lambda k, _: k.startswith(start))), lambda e: F.struct(cut(e["key"]).alias("path"), F.array().cast("array<int>").alias("places"), e["value"].alias("value")))
+    many = F.transform(F.map_entries(F.map_filter("lists", lambda k, _: k.startswith(start))), lambda e: F.transform(e["value"], lambda x: F.struct(cut(e["key"]).alias("path"), x["places"].alias("places"), x["value"].alias("value"))))
+    return F.array_sort(F.concat(lone, F.flatten(many)))
+
+
 def pivot(nodes: DataFrame, key: str, list_path: str, fields: dict[str, str]) -> DataFrame:
     """The elements of one list as a table: ``key``, ``parent_path``, ``node_pos``, ``places`` and a column per field.
 

@@ -86,13 +86,14 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASSETS, ASSET_ANCHORS, ANCHORS, CHECKS = "content.assets", "content.assets.anchors", "content.anchors", "verification.checks"
+FINDINGS = "verification.checks.details.findings"
 #: Entity, list and the field that is its value.
 ENTITIES = [("asset", ASSETS, "asset_id"), ("anchor", ANCHORS, "kind"), ("anchor", ASSET_ANCHORS, "kind"), ("check", CHECKS, "invariant")]
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     raw = read_table(spark, sf_dir, "raw_records")
-    return nested.flatten(raw, "record_id", "payload", [ASSETS, ASSET_ANCHORS, ANCHORS, CHECKS], ["content", "verification"])
+    return nested.flatten(raw, "record_id", "payload", [ASSETS, ASSET_ANCHORS, ANCHORS, CHECKS, *more], ["content", "verification"])
 
 
 def found_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,15 +122,23 @@ def anchor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = ["char_start", "char_end", "pdf_page", "row_index", "column_index"]
     fields = {c: c for c in texts + numbers}
     nodes = _nodes(spark, sf_dir)
-    both = nodes.where(F.col("list_path").isin(ANCHORS, ASSET_ANCHORS)).select("record_id", "parent_path", "node_pos", "places", *[F.col("fields")[p].alias(c) for c, p in fields.items()])
+    both = nodes.where(F.col("list_path").isin(ANCHORS, ASSET_ANCHORS)).select("record_id", "parent_path", "node_pos", "places", *[F.col("fields")[p].alias(c) for c, p in fields.items()], F.transform(nested.items("bbox"), lambda x: x.try_cast("double")).alias("bbox"))
     for c in numbers:
         both = both.withColumn(c, F.col(c).try_cast("int"))
     return both.distinct()
 
 
 def check_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verification checks."""
-    return nested.pivot(_nodes(spark, sf_dir), "record_id", CHECKS, {c: c for c in ("invariant", "outcome", "verifier")}).distinct()
+    """Verification checks; details has all values below them as (path, places, value)."""
+    nodes = _nodes(spark, sf_dir).where(F.col("list_path") == CHECKS)
+    fields = [F.col("fields")[c].alias(c) for c in ("invariant", "outcome", "verifier", "evidence_digest")]
+    return nodes.select("record_id", "parent_path", "node_pos", "places", *fields, nested.under("details").alias("details")).distinct()
+
+
+def finding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the checks with their notes; places links them to their check."""
+    nodes = _nodes(spark, sf_dir, FINDINGS).where(F.col("list_path") == FINDINGS)
+    return nodes.select("record_id", "parent_path", "node_pos", "places", F.col("fields")["field"].alias("field"), nested.items("notes").alias("notes")).distinct()
 
 
 QUERIES = {
@@ -141,6 +150,7 @@ QUERIES = {
     "p5_assets": asset_table,
     "p5_anchors": anchor_table,
     "p5_checks": check_table,
+    "p5_findings": finding_table,
 }
 
 _TIDY = "nullif(upper(trim({0}, E' \\t\\n')), '')"

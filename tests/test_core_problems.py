@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from korpuskel.functions.keys import latest_rows, tidy
 from korpuskel.operators import bloom, nested, orphans, snapshots
+from korpuskel.plans import core_problems
 
 
 def test_tidy_and_latest(spark):
@@ -151,3 +152,17 @@ def test_flatten(spark):
     assert nested.flatten(df.limit(0), "record_id", "payload", ["content.assets"]).count() == 0
     table = nested.pivot(nodes, "record_id", "content.assets", {"asset_id": "asset_id"})
     assert {r.asset_id for r in table.collect()} == {"A1"}
+
+
+def test_lists_below_an_element_keep_all_values(spark, tmp_path):
+    checks = [{"invariant": "I", "evidenceDigest": "d", "details": {"invariant": "inner", "findings": [{"field": "a", "notes": ["x", "y"]}, {"field": "b"}]}}, {"invariant": "J"}]
+    anchors = [{"bbox": [1.0, None, 3, 4.5]}, {"kind": "PDF", "bbox": 7}, {"kind": "XML"}]
+    payload = json.dumps({"content": json.dumps({"anchors": anchors}), "verification": {"checks": checks}})
+    spark.createDataFrame([(1, payload)], "record_id long, payload string").write.parquet(str(tmp_path / "raw_records.parquet"))
+    got = {r.node_pos: r.bbox for r in core_problems.anchor_table(spark, str(tmp_path)).collect()}
+    assert got == {0: [1.0, None, 3.0, 4.5], 1: [7.0], 2: None}
+    got = {r.invariant: (r.evidence_digest, [tuple(d) for d in r.details]) for r in core_problems.check_table(spark, str(tmp_path)).collect()}
+    assert got["J"] == (None, [])
+    assert got["I"] == ("d", [("findings[].field", [0], "a"), ("findings[].field", [1], "b"), ("findings[].notes[]", [0, 0], "x"), ("findings[].notes[]", [0, 1], "y"), ("invariant", [], "inner")])
+    got = sorted(map(tuple, core_problems.finding_table(spark, str(tmp_path)).collect()))
+    assert got == [(1, "verification.checks[0].details", 0, [0, 0], "a", ["x", "y"]), (1, "verification.checks[0].details", 1, [0, 1], "b", None)]
