@@ -114,13 +114,17 @@ def mix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
-def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, subjects.Model]:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "subject_labels").select("doc_id", tidy("subject").alias("subject"))
     known = read_table(spark, sf_dir, "subjects").select(tidy("subject").alias("subject")).dropna().distinct().orderBy("subject")
     areas = [row["subject"] for row in known.collect()]  # the 12 rows of a fixed table
     features = subjects.featurise(docs, "doc_id", "text", labels, areas)
-    return subjects.areas_of(features, subjects.train(features, areas))
+    return features, subjects.train(features, areas)
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.areas_of(*_trained(spark, sf_dir))
 
 
 def found_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,11 +138,11 @@ def area_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def area_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and sentences of the corpus by area."""
-    found = _areas(spark, sf_dir)
-    return found.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("n_documents"), F.sum((F.round(F.col("share") * F.col("n_about"))).cast("long")).alias("n_sentences")
-    )
+    """Documents and sentences of the corpus by area; the row without a subject has those about no area.
+
+    Sentences are all that are about the area, also where it is a minor one.
+    """
+    return subjects.make_up(*_trained(spark, sf_dir))
 
 
 QUERIES = {

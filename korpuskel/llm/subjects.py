@@ -330,3 +330,32 @@ def areas_of(features: DataFrame, model: Model, least_share: float = 0.25) -> Da
             )
 
     return features.mapInArrow(run, T.StructType([features.schema[ident], *more]))
+
+
+def make_up(features: DataFrame, model: Model, least_share: float = 0.25) -> DataFrame:
+    """``subject``, ``n_documents``, ``n_sentences`` of each area, and of none (a null subject).
+
+    All sentences about an area count; a document counts for the areas with
+    ``least_share`` of its sentences about any area. The row of none has the
+    documents and the sentences that are about no area. An area without any
+    sentence gives a row of zeros. A sentence about two areas counts for both.
+    """
+    n = len(model.areas)
+    sent = features.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = sent.value, np.zeros((2, n + 1), np.int64)
+        for batch in _small(batches):
+            flat, of, doc = _arrays(batch)
+            about = model.posteriors(_scores(flat, of, len(doc), model.weights)) >= 0.5
+            any_area = np.bincount(doc, about.any(1), batch.num_rows)
+            per = np.zeros((batch.num_rows, n))
+            np.add.at(per, doc, about)
+            share = per / np.maximum(1, any_area)[:, None]
+            total[0] += [*((share >= least_share) & (per > 0)).sum(0), (any_area == 0).sum()]
+            total[1] += [*per.sum(0).astype(np.int64), (~about.any(1)).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([*model.areas, None], pa.string()), pa.array(total[0]), pa.array(total[1])], names=names)
+
+    names = ["subject", "n_documents", "n_sentences"]
+    summed = features.mapInArrow(run, "subject string, n_documents long, n_sentences long")
+    return summed.groupBy("subject").agg(*[F.sum(c).alias(c) for c in names[1:]])

@@ -237,3 +237,14 @@ def test_subjects_without_documents_or_labels(spark):
     for frame in (docs, docs.limit(0)):
         features = subjects.featurise(frame, "doc_id", "text", labels, ["X", "Y"])
         assert subjects.areas_of(features, subjects.train(features, ["X", "Y"])).count() == 0
+
+
+def test_make_up_counts_minor_areas_and_none(spark):
+    sizes = [([0] * 9 + [1], 1), ([2, 2], 2), ([1], 3), ([], 4)]  # the feature of each sentence; 2 is about nothing
+    rows = [(i, f, [1] * len(f), None) for f, i in sizes]
+    features = spark.createDataFrame(rows, "doc_id long, features array<int>, sizes array<int>, labels array<int>")
+    weights = np.zeros((subjects.FEATURES, 3), np.float32)
+    weights[0, 0] = weights[1, 1] = 5
+    model = subjects.Model(["X", "Y", "Z"], weights, np.ones(3), np.full(3, -2.0))
+    got = {r.subject: (r.n_documents, r.n_sentences) for r in subjects.make_up(features, model).collect()}
+    assert got == {"X": (1, 9), "Y": (1, 2), "Z": (0, 0), None: (2, 2)}
