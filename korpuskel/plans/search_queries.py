@@ -35,6 +35,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
             "gold": gold,
             "forbidden": F.transform("forbidden_evidence_ids", tidy),
             "required_roles": F.col("required_evidence_roles"),
+            "expectation": tidy("evidence_expectation"),
             "strata": F.array_sort(F.transform(F.map_entries("strata"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))),
         },
     )
@@ -82,9 +83,14 @@ def deduplicated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir).select("case_id", "evidence_id", "place", F.size("suppressed").alias("n_suppressed"))
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures of each case with gold evidence against its selected list."""
-    cases = _cases(spark, sf_dir).where(F.size("gold") > 0)
+def _metrics(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Measures of each case with gold evidence against its selected list.
+
+    With ``every``, of all cases: those of insufficient evidence (as expected, or
+    without gold) score 1 if nothing was selected for them, else 0.
+    """
+    cases = _cases(spark, sf_dir).withColumn("insufficient", F.lit(False))
+    cases = cases.withColumn("insufficient", F.coalesce(F.col("expectation") == "INSUFFICIENT_EVIDENCE", F.lit(False)) | (F.size("gold") == 0)) if every else cases.where(F.size("gold") > 0)
     picked = _selected(spark, sf_dir).join(cases.select("case_id", "corpus_release_id"), "case_id").join(_evidence(spark, sf_dir).select("corpus_release_id", "evidence_id", "roles"), ["corpus_release_id", "evidence_id"])
     lists = picked.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("place", "evidence_id", "roles"))).alias("got"))
     both = cases.join(lists, "case_id", "left").withColumn("got", F.coalesce("got", F.array().cast("array<struct<place:int,evidence_id:string,roles:array<string>>>")))
@@ -94,22 +100,25 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     dcg = F.aggregate("hits", F.lit(0.0), lambda acc, g: acc + gain(F.element_at("grades", g["evidence_id"]), g["place"].cast("double")))
     ideal = F.slice(F.sort_array(F.map_values("grades"), asc=False), 1, DEPTH)
     best = F.aggregate(F.transform(ideal, lambda g, i: gain(g, i + 1.0)), F.lit(0.0), lambda acc, v: acc + v)
-    n_gold = F.size("grades")
+    n_gold = F.greatest(F.size("grades"), F.lit(1))  # without gold the case is scored by abstention
     r_depth = F.least(n_gold, F.lit(DEPTH))
     got_roles = F.array_distinct(F.flatten(F.transform("hits", lambda g: F.coalesce(g["roles"], F.array().cast("array<string>")))))
     wanted = F.array_distinct(F.coalesce("required_roles", F.array().cast("array<string>")))
+    abstained = F.size("got") == 0
+    scored = lambda measure, if_insufficient=abstained: F.when(F.col("insufficient"), if_insufficient.cast("double")).otherwise(measure)
     return both.select(
         "case_id",
         "strata",
-        (F.size("hits") / n_gold).alias("recall"),
-        F.when(best > 0, dcg / best).otherwise(0.0).alias("ndcg"),
-        F.coalesce(F.lit(1.0) / F.array_min(F.transform("hits", lambda g: g["place"])), F.lit(0.0)).alias("reciprocal_rank"),
-        F.when(F.size("got") > 0, F.size("hits") / F.size("got")).otherwise(0.0).alias("precision"),
-        (r_depth / F.lit(float(DEPTH))).alias("precision_ceiling"),
-        (F.size(F.filter("hits", lambda g: g["place"] <= r_depth)) / r_depth).alias("r_precision"),
-        (F.size("hits") == n_gold).alias("complete"),
-        (F.size(F.filter("hits", lambda g: g["place"] <= BUDGET)) == n_gold).alias("complete_at_budget"),
-        F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, got_roles)) / F.size(wanted)).otherwise(1.0).alias("role_recall"),
+        F.when(F.col("insufficient"), "INSUFFICIENT").otherwise("ANSWERABLE").alias("population"),
+        scored(F.size("hits") / n_gold).alias("recall"),
+        scored(F.when(best > 0, dcg / best).otherwise(0.0)).alias("ndcg"),
+        scored(F.coalesce(F.lit(1.0) / F.array_min(F.transform("hits", lambda g: g["place"])), F.lit(0.0))).alias("reciprocal_rank"),
+        scored(F.when(F.size("got") > 0, F.size("hits") / F.size("got")).otherwise(0.0)).alias("precision"),
+        scored(r_depth / F.lit(float(DEPTH)), F.lit(1.0)).alias("precision_ceiling"),
+        scored(F.size(F.filter("hits", lambda g: g["place"] <= r_depth)) / r_depth).alias("r_precision"),
+        F.when(F.col("insufficient"), abstained).otherwise(F.size("hits") == n_gold).alias("complete"),
+        F.when(F.col("insufficient"), abstained).otherwise(F.size(F.filter("hits", lambda g: g["place"] <= BUDGET)) == n_gold).alias("complete_at_budget"),
+        scored(F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, got_roles)) / F.size(wanted)).otherwise(1.0), F.lit(1.0)).alias("role_recall"),
         F.size(F.array_intersect(F.array_distinct("got.evidence_id"), F.coalesce("forbidden", F.array().cast("array<string>")))).alias("n_forbidden"),
     )
 
@@ -122,7 +131,7 @@ def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over all cases, and the share of complete cases with its interval."""
+    """Means over the cases of the query set that have gold evidence, and the share of complete cases with its interval; outcome_summary has all cases."""
     sums = _metrics(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_cases"), F.count_if("complete").alias("n_complete"), *[F.round(F.avg(m), 6).alias(m) for m in MEASURES])
     low, high = search.wilson(F.col("n_complete"), F.col("n_cases"))
     return sums.withColumns({"complete_low": F.round(low, 6), "complete_high": F.round(high, 6)})
@@ -136,6 +145,31 @@ def stratum_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumns({"complete_low": F.round(low, 6), "complete_high": F.round(high, 6)})
 
 
+def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As case_metrics, of every case of the query set; those of insufficient evidence are scored by abstention."""
+    return _metrics(spark, sf_dir, every=True).select("case_id", "population", *[F.round(m, 6).alias(m) for m in MEASURES], "complete", "complete_at_budget", "n_forbidden")
+
+
+def _populations(measured: DataFrame) -> DataFrame:
+    return measured.withColumn("population", F.explode(F.array(F.lit("ALL"), "population")))
+
+
+def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over all cases of the query set (every hundredth case), over the answerable and over the insufficient ones, with intervals."""
+    each = _populations(_metrics(spark, sf_dir, every=True)).groupBy("population")
+    sums = each.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if("complete").alias("n_complete"), *[F.round(F.avg(m), 6).alias(m) for m in MEASURES], F.count_if(F.col("n_forbidden") > 0).alias("n_leaking"))
+    low, high = search.wilson(F.col("n_complete"), F.col("n_cases"))
+    return sums.withColumns({"complete_low": F.round(low, 6), "complete_high": F.round(high, 6)})
+
+
+def outcome_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As outcome_summary, per stratum; a case counts in each of its strata."""
+    each = _populations(_metrics(spark, sf_dir, every=True)).select("population", F.explode("strata").alias("s"), "recall", "complete")
+    sums = each.groupBy(F.col("s.key").alias("stratum"), F.col("s.value").alias("value"), "population").agg(F.count(F.lit(1)).alias("n_cases"), F.count_if("complete").alias("n_complete"), F.round(F.avg("recall"), 6).alias("recall"))
+    low, high = search.wilson(F.col("n_complete"), F.col("n_cases"))
+    return sums.withColumns({"complete_low": F.round(low, 6), "complete_high": F.round(high, 6)})
+
+
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of each vector whose id is divisible by 100."""
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -161,6 +195,9 @@ QUERIES = {
     "case_metrics": case_metrics,
     "metric_summary": metric_summary,
     "stratum_summary": stratum_summary,
+    "case_outcomes": case_outcomes,
+    "outcome_summary": outcome_summary,
+    "outcome_strata": outcome_strata,
     "dense_topk": dense_topk,
     "vector_checks": vector_checks,
 }
@@ -218,6 +255,19 @@ m AS (
   FROM cases c JOIN golds USING (case_id) LEFT JOIN agg USING (case_id) LEFT JOIN got USING (case_id)),
 metrics AS (SELECT *, coalesce(ndcg0, 0) AS ndcg FROM m)"""
 
+_SCORES = ["recall", "ndcg", "reciprocal_rank", "precision", "r_precision"]
+_OUTCOMES = f"""{_METRICS},
+lacking AS (
+  SELECT c.case_id, c.strata, forbidden_evidence_ids, coalesce(ids, []) AS ids FROM cases c LEFT JOIN got USING (case_id)
+  JOIN (SELECT {_t("case_id")} AS case_id, {_t("evidence_expectation")} AS e FROM benchmark_cases QUALIFY row_number() OVER (PARTITION BY {_t("case_id")} ORDER BY created_at DESC) = 1) USING (case_id)
+  WHERE coalesce(e = 'INSUFFICIENT_EVIDENCE', false) OR case_id NOT IN (SELECT case_id FROM golds)),
+outcomes AS (
+  SELECT case_id, strata, 'ANSWERABLE' AS population, {", ".join(_SCORES)}, precision_ceiling, role_recall, complete, complete_at_budget, n_forbidden FROM metrics WHERE case_id NOT IN (SELECT case_id FROM lacking)
+  UNION ALL
+  SELECT case_id, strata, 'INSUFFICIENT', {", ".join(["CAST(len(ids) = 0 AS DOUBLE)"] * len(_SCORES))}, 1, 1, len(ids) = 0, len(ids) = 0,
+    CAST(len(list_intersect(ids, coalesce([{_t("x")} FOR x IN forbidden_evidence_ids], []))) AS INTEGER) FROM lacking),
+populations AS (SELECT * FROM outcomes UNION ALL SELECT * REPLACE ('ALL' AS population) FROM outcomes)"""
+
 
 def _top(source: str, base: str) -> str:
     return f"WITH {base} SELECT case_id, id AS evidence_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM {source} WHERE rank <= {DEPTH}"
@@ -235,6 +285,9 @@ SQL = {
     "case_metrics": f"WITH {_METRICS} SELECT case_id, {', '.join(f'round({m}, 6) AS {m}' for m in MEASURES)}, complete, complete_at_budget, n_forbidden FROM metrics",
     "metric_summary": f"WITH {_METRICS} SELECT *, {_LOW} AS complete_low, {_HIGH} AS complete_high FROM (SELECT count(*) AS n_cases, count(*) FILTER (complete) AS n_complete, {', '.join(f'round(avg({m}), 6) AS {m}' for m in MEASURES)} FROM metrics)",
     "stratum_summary": f"WITH {_METRICS} SELECT *, {_LOW} AS complete_low, {_HIGH} AS complete_high FROM (SELECT s.key AS stratum, s.value AS value, count(*) AS n_cases, count(*) FILTER (complete) AS n_complete, round(avg(recall), 6) AS recall FROM (SELECT unnest(map_entries(strata)) AS s, recall, complete FROM metrics) GROUP BY ALL)",
+    "case_outcomes": f"WITH {_OUTCOMES} SELECT case_id, population, {', '.join(f'round({m}, 6) AS {m}' for m in MEASURES)}, complete, complete_at_budget, n_forbidden FROM outcomes",
+    "outcome_summary": f"WITH {_OUTCOMES} SELECT *, {_LOW} AS complete_low, {_HIGH} AS complete_high FROM (SELECT population, count(*) AS n_cases, count(*) FILTER (complete) AS n_complete, {', '.join(f'round(avg({m}), 6) AS {m}' for m in MEASURES)}, count(*) FILTER (n_forbidden > 0) AS n_leaking FROM populations GROUP BY ALL)",
+    "outcome_strata": f"WITH {_OUTCOMES} SELECT *, {_LOW} AS complete_low, {_HIGH} AS complete_high FROM (SELECT s.key AS stratum, s.value AS value, population, count(*) AS n_cases, count(*) FILTER (complete) AS n_complete, round(avg(recall), 6) AS recall FROM (SELECT population, unnest(map_entries(strata)) AS s, recall, complete FROM populations) GROUP BY ALL)",
     "dense_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= {DEPTH}""",
     "vector_checks": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimension, len(embedding) > 0 AS is_valid, round(sqrt(list_sum([x * x FOR x IN embedding::DOUBLE[]])), 6) AS length, round(sqrt(list_sum([x * x FOR x IN embedding[1:32]::DOUBLE[]])), 6) AS half_length FROM embeddings",
