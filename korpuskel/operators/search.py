@@ -15,11 +15,12 @@ from korpuskel.functions import text as X
 DIGITS = 9  # scores are compared rounded, so that the order of additions doesn't matter
 
 
-def ranked(scores: DataFrame, query: str | list[str], ident: str, k: int) -> DataFrame:
-    """The ``k`` best rows of each query by (score descending, id), with ``rank`` from 1."""
+def ranked(scores: DataFrame, query: str | list[str], ident: str, k: int | None) -> DataFrame:
+    """The ``k`` best rows of each query by (score descending, id), or all for None, with ``rank`` from 1."""
     keys = [query] if isinstance(query, str) else query
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(ident))
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    numbered = scores.withColumn("rank", F.row_number().over(order))
+    return numbered if k is None else numbered.where(F.col("rank") <= k)
 
 
 def sparse_scores(docs: DataFrame, queries: DataFrame, scope: str, ident: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

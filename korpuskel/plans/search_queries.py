@@ -42,11 +42,11 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.where(F.regexp_extract("case_id", r"([0-9]+)$", 1).try_cast("bigint") % 100 == 0)
 
 
-def _lanes(spark: SparkSession, sf_dir: str, *weights: str) -> DataFrame:
-    """(lane, case_id, evidence_id, score, rank) of the best of each lane; all lanes come from one pass over the postings."""
+def _lanes(spark: SparkSession, sf_dir: str, *weights: str, pool: int | None = POOL) -> DataFrame:
+    """(lane, case_id, evidence_id, score, rank) of the best ``pool`` of each lane; all lanes come from one pass over the postings."""
     scores = search.sparse_scores(_evidence(spark, sf_dir), _cases(spark, sf_dir).select("case_id", "corpus_release_id", "text"), "corpus_release_id", "evidence_id", "case_id")
     each = F.explode(F.array(*[F.struct(F.lit(w).alias("lane"), F.col(w).alias("score")) for w in weights or WEIGHTS]))
-    return search.ranked(scores.select("case_id", "evidence_id", each.alias("l")).select("case_id", "evidence_id", "l.*"), ["lane", "case_id"], "evidence_id", POOL)
+    return search.ranked(scores.select("case_id", "evidence_id", each.alias("l")).select("case_id", "evidence_id", "l.*"), ["lane", "case_id"], "evidence_id", pool)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +65,20 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).where(F.col("rank") <= DEPTH).select("case_id", "evidence_id", "rank", F.round("score", 6).alias("score"))
 
 
-def rank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of each gold evidence in each lane; null where a lane doesn't have it."""
+def _gold_ranks(spark: SparkSession, sf_dir: str, pool: int | None) -> DataFrame:
     gold = _cases(spark, sf_dir).select("case_id", F.explode("gold.id").alias("evidence_id")).distinct()
     rank = {w: F.max(F.when(F.col("lane") == w, F.col("rank"))).alias(f"{w}_rank") for w in WEIGHTS}
-    return gold.join(_lanes(spark, sf_dir), ["case_id", "evidence_id"], "left").groupBy("case_id", "evidence_id").agg(*rank.values())
+    return gold.join(_lanes(spark, sf_dir, pool=pool), ["case_id", "evidence_id"], "left").groupBy("case_id", "evidence_id").agg(*rank.values())
+
+
+def rank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of each gold evidence in each lane that goes into fusion; null where it isn't among its best 50."""
+    return _gold_ranks(spark, sf_dir, POOL)
+
+
+def gold_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of each gold evidence among all that share a token with its case, in each lane; null where it shares none."""
+    return _gold_ranks(spark, sf_dir, None)
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +200,7 @@ QUERIES = {
     "lexical_rank": lexical_rank,
     "rrf_fusion": rrf_fusion,
     "rank_trace": rank_trace,
+    "gold_ranks": gold_ranks,
     "deduplicated_topk": deduplicated_topk,
     "case_metrics": case_metrics,
     "metric_summary": metric_summary,
@@ -281,6 +291,9 @@ SQL = {
     "lexical_rank": _top("presence_ranked", _BASE),
     "rrf_fusion": _top("fused_ranked", _FUSION),
     "rank_trace": f"WITH {_FUSION}, {_GOLD} SELECT g.case_id, g.id AS evidence_id, max(rank) FILTER (lane = 'bm25') AS bm25_rank, max(rank) FILTER (lane = 'presence') AS presence_rank FROM gold g LEFT JOIN lanes USING (case_id, id) GROUP BY ALL",
+    "gold_ranks": f"""WITH {_BASE}, {_GOLD},
+whole_lanes AS (SELECT 'bm25' AS lane, case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS rank FROM bm25 UNION ALL SELECT 'presence', case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) FROM presence)
+SELECT g.case_id, g.id AS evidence_id, max(rank) FILTER (lane = 'bm25') AS bm25_rank, max(rank) FILTER (lane = 'presence') AS presence_rank FROM gold g LEFT JOIN whole_lanes USING (case_id, id) GROUP BY ALL""",
     "deduplicated_topk": f"WITH {_SELECTION} SELECT case_id, id AS evidence_id, CAST(place AS INTEGER) AS place, CAST(n_suppressed AS INTEGER) AS n_suppressed FROM picked",
     "case_metrics": f"WITH {_METRICS} SELECT case_id, {', '.join(f'round({m}, 6) AS {m}' for m in MEASURES)}, complete, complete_at_budget, n_forbidden FROM metrics",
     "metric_summary": f"WITH {_METRICS} SELECT *, {_LOW} AS complete_low, {_HIGH} AS complete_high FROM (SELECT count(*) AS n_cases, count(*) FILTER (complete) AS n_complete, {', '.join(f'round(avg({m}), 6) AS {m}' for m in MEASURES)} FROM metrics)",

@@ -34,3 +34,8 @@ def test_cases_of_insufficient_evidence_are_scored_by_abstention(spark, folder):
     assert sums == {"ALL": (3, 1, pytest.approx(4 / 9, abs=1e-6), 1), "ANSWERABLE": (1, 0, pytest.approx(1 / 3, abs=1e-6), 0), "INSUFFICIENT": (2, 1, 0.5, 1)}
     strata = {(r.stratum, r.value, r.population): r.n_cases for r in search_queries.outcome_strata(spark, folder).collect()}
     assert strata == {("k", "v", "ALL"): 3, ("k", "v", "ANSWERABLE"): 1, ("k", "v", "INSUFFICIENT"): 2}
+
+
+def test_gold_ranks_have_no_cap(spark, folder):
+    got = {r.evidence_id: (r.bm25_rank, r.presence_rank) for r in search_queries.gold_ranks(spark, folder).collect()}
+    assert got == {"E55": (56, 56), "E00": (1, 1), "X": (None, None)}
