@@ -9,16 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from korpuskel.sources.sinks import append_new
 
 
-def first_events(events: DataFrame, key: list[str], at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """One event per key within the watermark; state is kept no longer than ``late``."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
-
-
 def run_outbox(spark: SparkSession, source: str, schema: str, sink: str, state: str, key: list[str], at: str = "ts") -> StreamingQuery:
-    """Streams the Parquet files under ``source`` into the keyed table at ``sink``, each key once, also after a restart."""
+    """Streams the Parquet files under ``source`` into the keyed table at ``sink``, each key once, also after a restart.
+
+    The sink alone makes keys unique: an event may come late by any time. No
+    state but the files already read is kept in ``state``.
+    """
     events = spark.readStream.schema(schema).parquet(source)
 
     def store(batch: DataFrame, number: int) -> None:
         append_new(batch.withColumn("batch_no", F.lit(number)), sink, key, [at])
 
-    return first_events(events, key, at).writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -77,3 +77,11 @@ def test_outbox_stream(spark, tmp_path):
         run_outbox(spark, where[0], "k long, ts timestamp", where[1], where[2], ["k"]).awaitTermination()
         events.write.mode("append").parquet(where[0])
     assert spark.read.parquet(where[1]).count() == 5
+
+
+def test_outbox_keeps_late_events_of_new_keys(spark, tmp_path):
+    where = [str(tmp_path / n) for n in ("in", "out", "state")]
+    for batch in ("(1, 1700000000), (2, 1700090000)", "(3, 1700000000), (1, 1600000000), (4, 1700090001)", "(5, 1600000000)"):
+        spark.sql(f"SELECT CAST(col1 AS long) AS k, timestamp_seconds(col2) AS ts FROM VALUES {batch}").coalesce(1).write.mode("append").parquet(where[0])
+        run_outbox(spark, where[0], "k long, ts timestamp", where[1], where[2], ["k"]).awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(where[1]).collect()) == [1, 2, 3, 4, 5]
