@@ -80,10 +80,20 @@ def previous_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the same order within one place of the lines of every order whose key is divisible by 100."""
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    near = R.neighbourhood(lines.where("l_orderkey % 100 = 0"), lines, "l_orderkey", "l_linenumber", 1)
+    return _near(lines.where("l_orderkey % 100 = 0"), lines)
+
+
+def _near(anchors: DataFrame, lines: DataFrame) -> DataFrame:
+    near = R.neighbourhood(anchors, lines, "l_orderkey", "l_linenumber", 1)
     return near.select("anchor_l_orderkey", "anchor_l_linenumber", "l_linenumber", "l_partkey")
 
 
+def line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the same order within one place of each line."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _near(lines, lines)
+
+
 def last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value of the last purchase at or before each event of a user."""
     events = read_table(spark, sf_dir, "events").withColumn("bought", F.when(F.col("event_type") == "purchase", F.col("value")))
@@ -190,7 +200,7 @@ def text_change_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("print_sha256").agg(F.count(F.lit(1)).alias("n_releases")).where("n_releases > 1")
 
 
-_NAMES = [registry_detail, evidence_detail, servable_semi, set_difference, coverage_accounting, inventory_diff, effective_as_of, previous_event, row_neighbourhood, last_purchase, recent_list, outbox_rows, lineage, release_digests, review_agreement, citation_numbers, complete_sets, keyed_sample, filter_forms, wide_jurisdictions, anchor_groups, text_change_prints]
+_NAMES = [registry_detail, evidence_detail, servable_semi, set_difference, coverage_accounting, inventory_diff, effective_as_of, previous_event, row_neighbourhood, line_neighbourhood, last_purchase, recent_list, outbox_rows, lineage, release_digests, review_agreement, citation_numbers, complete_sets, keyed_sample, filter_forms, wide_jurisdictions, anchor_groups, text_change_prints]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -215,6 +225,7 @@ SQL = {
     "effective_as_of": "SELECT corpus_release_id, source_version_id FROM source_versions JOIN corpus_releases ON coalesce(effective_from <= CAST(cutoff_at AS DATE), true) AND coalesce(effective_to >= CAST(cutoff_at AS DATE), true)",
     "previous_event": "SELECT event_id, lag(event_type) OVER w AS previous_event_type, CAST(row_number() OVER w AS INTEGER) AS sequence_no FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "row_neighbourhood": "SELECT a.l_orderkey AS anchor_l_orderkey, a.l_linenumber AS anchor_l_linenumber, b.l_linenumber, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) <= 1 WHERE a.l_orderkey % 100 = 0",
+    "line_neighbourhood": "SELECT a.l_orderkey AS anchor_l_orderkey, a.l_linenumber AS anchor_l_linenumber, b.l_linenumber, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) <= 1",
     "last_purchase": "SELECT event_id, round(last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS last_bought FROM events",
     "recent_list": "WITH n AS (SELECT user_id, event_type, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place, event_type, event_id FROM n QUALIFY place <= 8",
     "outbox_rows": "SELECT user_id, event_type, day, min(event_id) AS event_id FROM (SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id FROM events) WHERE day >= '2024-01-11' GROUP BY user_id, event_type, day",
