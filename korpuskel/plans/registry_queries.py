@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpuskel.functions import text as X
@@ -148,15 +150,25 @@ def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases of whose alternative complete sets at least one lies in their gold evidence, and forbidden ids among it."""
+    """Cases of whose alternative complete sets at least one lies in their gold evidence, and forbidden ids among it; ids as they are written."""
+    return _covered(spark, sf_dir, lambda i: i)
+
+
+def tidy_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As complete_sets, with ids compared without letter case and outer blanks."""
+    return _covered(spark, sf_dir, tidy)
+
+
+def _covered(spark: SparkSession, sf_dir: str, named: Callable[[Column], Column]) -> DataFrame:
+    ids = lambda c: F.array_compact(F.transform(F.coalesce(c, empty), named)) if named is tidy else F.coalesce(c, empty)
     empty = F.array().cast("array<string>")
     cases = latest_rows(
         read_table(spark, sf_dir, "benchmark_cases"),
         {"case_id": tidy("case_id")},
         F.col("created_at"),
-        {"gold": F.coalesce(F.col("gold_evidence.evidence_id"), empty), "sets": F.col("minimum_complete_evidence_sets"), "forbidden": F.coalesce("forbidden_evidence_ids", empty)},
+        {"gold": ids(F.col("gold_evidence.evidence_id")), "sets": F.col("minimum_complete_evidence_sets"), "forbidden": ids(F.col("forbidden_evidence_ids"))},
     )
-    covered = F.exists(F.coalesce("sets", F.array().cast(cases.schema["sets"].dataType)), lambda s: F.size(F.array_except(F.coalesce(s["evidence_ids"], empty), F.col("gold"))) == 0)
+    covered = F.exists(F.coalesce("sets", F.array().cast(cases.schema["sets"].dataType)), lambda s: F.size(F.array_except(ids(s["evidence_ids"]), F.col("gold"))) == 0)
     return cases.select("case_id", covered.alias("is_covered"), F.size(F.array_intersect("gold", "forbidden")).alias("n_forbidden"))
 
 
@@ -200,7 +212,7 @@ def text_change_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("print_sha256").agg(F.count(F.lit(1)).alias("n_releases")).where("n_releases > 1")
 
 
-_NAMES = [registry_detail, evidence_detail, servable_semi, set_difference, coverage_accounting, inventory_diff, effective_as_of, previous_event, row_neighbourhood, line_neighbourhood, last_purchase, recent_list, outbox_rows, lineage, release_digests, review_agreement, citation_numbers, complete_sets, keyed_sample, filter_forms, wide_jurisdictions, anchor_groups, text_change_prints]
+_NAMES = [registry_detail, evidence_detail, servable_semi, set_difference, coverage_accounting, inventory_diff, effective_as_of, previous_event, row_neighbourhood, line_neighbourhood, last_purchase, recent_list, outbox_rows, lineage, release_digests, review_agreement, citation_numbers, complete_sets, tidy_sets, keyed_sample, filter_forms, wide_jurisdictions, anchor_groups, text_change_prints]
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -234,6 +246,9 @@ SQL = {
     "review_agreement": f"WITH s AS (SELECT {_t('case_id')} AS c, {_t('decided_case.strata[' + chr(39) + 'clinical_risk' + chr(39) + ']')} AS level, suite_partition AS suite FROM review_decisions QUALIFY row_number() OVER (PARTITION BY {_t('case_id')}, {_t('adjudicator_identity')} ORDER BY decided_at DESC) = 1), e AS (SELECT c, min(suite) AS suite_partition, count(DISTINCT level) = 1 AS same FROM s WHERE level IS NOT NULL GROUP BY c HAVING count(*) > 1) SELECT suite_partition, count(*) AS n_cases, round(avg(CAST(same AS DOUBLE)), 6) AS agreement FROM e GROUP BY ALL",
     "citation_numbers": f"WITH g AS (SELECT case_id, unnest(gold_evidence).evidence_id AS raw, generate_subscripts(gold_evidence, 1) AS pos FROM ({_CASES})), f AS (SELECT case_id, {_t('raw')} AS evidence_id, min(pos) AS pos FROM g WHERE {_t('raw')} IS NOT NULL GROUP BY ALL) SELECT case_id, evidence_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY pos) AS INTEGER) AS citation_no FROM f",
     "complete_sets": f"SELECT case_id, len(list_filter(coalesce(minimum_complete_evidence_sets, []), lambda s: len(list_filter(coalesce(s.evidence_ids, []), lambda i: NOT list_contains(coalesce([g.evidence_id FOR g IN gold_evidence], []), i))) = 0)) > 0 AS is_covered, CAST(len(list_intersect(coalesce([g.evidence_id FOR g IN gold_evidence], []), coalesce(forbidden_evidence_ids, []))) AS INTEGER) AS n_forbidden FROM ({_CASES})",
+    "tidy_sets": f"""WITH t AS (SELECT case_id, coalesce([{_t('g.evidence_id')} FOR g IN gold_evidence], []) AS gold, coalesce([{_t('x')} FOR x IN forbidden_evidence_ids], []) AS forbidden, minimum_complete_evidence_sets AS sets FROM ({_CASES}))
+SELECT case_id, len(list_filter(coalesce(sets, []), lambda s: len(list_filter([{_t('i')} FOR i IN coalesce(s.evidence_ids, [])], lambda i: i IS NOT NULL AND NOT list_contains(gold, i))) = 0)) > 0 AS is_covered,
+  CAST(len(list_intersect(list_filter(gold, lambda i: i IS NOT NULL), list_filter(forbidden, lambda i: i IS NOT NULL))) AS INTEGER) AS n_forbidden FROM t""",
     "keyed_sample": "SELECT doc_id FROM documents WHERE length(text) > 0 ORDER BY sha256('sample-key|' || doc_id) LIMIT 50",
     "filter_forms": "SELECT count(*) FILTER (language = 'en') AS n_equal, count(*) FILTER (list_contains(evidence_roles, 'MONITORING')) AS n_contains, count(*) FILTER (jurisdiction IN ('WORLD', 'TEST')) AS n_any, count(*) FILTER (lifecycle_status <> 'SUPERSEDED') AS n_must_not, count(*) FILTER (render_allowed) AS n_boolean, count(*) FILTER (len(applicability.population) = 0) AS n_empty, count(*) FILTER (language = 'xx') AS n_no_match FROM corpus_evidence",
     "wide_jurisdictions": f"SELECT case_id, array_to_string(CASE WHEN len(retrieval_filter.jurisdictions) > 0 THEN list_sort(list_distinct(list_append(retrieval_filter.jurisdictions, 'WORLD'))) ELSE [] END, ',') AS jurisdictions FROM ({_CASES})",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpuskel.functions import text as X
+from korpuskel.functions.keys import latest_rows, tidy
 from korpuskel.session import read_table
 
 HASH_SEED, HASH_DIMENSION = "korpuskel-terms", 1 << 20
@@ -96,7 +97,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeral_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a case's question that none of its gold evidence holds."""
+    """Numbers of a case's question that none of its gold evidence holds; ids as they are written, any delivery."""
     cases = read_table(spark, sf_dir, "benchmark_cases").select("case_id", "corpus_release_id", "question", F.col("gold_evidence.evidence_id").alias("ids")).where(F.col("question").isNotNull())
     asked = cases.select("case_id", "corpus_release_id", "ids", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(X.NUMERAL), F.lit(0)))).alias("numeral"))
     cited = asked.select("case_id", "corpus_release_id", "numeral", F.explode_outer("ids").alias("evidence_id")).distinct()
@@ -106,6 +107,18 @@ def numeral_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("case_id", "numeral").agg(found.alias("found")).where(~F.col("found")).select("case_id", "numeral")
 
 
+def tidy_numeral_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As numeral_screen, of the counting rows, with ids compared without letter case and outer blanks."""
+    release = tidy("corpus_release_id")
+    cases = latest_rows(read_table(spark, sf_dir, "benchmark_cases"), {"case_id": tidy("case_id")}, F.col("created_at"), {"corpus_release_id": release, "question": F.col("question"), "ids": F.transform("gold_evidence.evidence_id", tidy)})
+    asked = cases.where(F.col("question").isNotNull()).select("case_id", "corpus_release_id", "ids", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(X.NUMERAL), F.lit(0)))).alias("numeral"))
+    cited = asked.select("case_id", "corpus_release_id", "numeral", F.explode_outer("ids").alias("evidence_id")).distinct()
+    held = latest_rows(read_table(spark, sf_dir, "corpus_evidence"), {"corpus_release_id": release, "evidence_id": tidy("evidence_id")}, F.col("delivered_at"), {"held": F.regexp_extract_all("content_exact", F.lit(X.NUMERAL), F.lit(0))})
+    found = F.max(F.coalesce(F.array_contains("held", F.col("numeral")), F.lit(False)))
+    seen = cited.join(held, ["corpus_release_id", "evidence_id"], "left").groupBy("case_id", "numeral").agg(found.alias("found"))
+    return seen.where(~F.col("found")).select("case_id", "numeral")
+
+
 def _cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "corpus_evidence").select("corpus_release_id", "evidence_id", "content_exact").distinct()
     return rows.select("corpus_release_id", "evidence_id", "content_exact", X.cells(F.col("content_exact")).alias("cells")).where(F.size("cells") > 0)
@@ -136,6 +149,7 @@ QUERIES = {
     "population_labels": population_labels,
     "identifiers": identifiers,
     "numeral_screen": numeral_screen,
+    "tidy_numeral_screen": tidy_numeral_screen,
     "spreadsheet_cells": spreadsheet_cells,
     "row_prints": row_prints,
 }
@@ -173,6 +187,12 @@ SQL = {
     "grades": f"SELECT doc_id, {_once(X.STRENGTH)} AS strength, {_once(X.CERTAINTY)} AS certainty FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)good-practice recommendation', '', 'g'), '(?i)to be of (very low|low|moderate|high) certainty', '\\1-certainty evidence', 'g') AS t FROM documents)",
     "population_labels": " UNION ALL ".join(f"SELECT doc_id, {_q(n)} AS label FROM documents WHERE regexp_matches(text, {_q(p)})" for n, p in X.POPULATIONS.items()),
     "identifiers": f"SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), {_q(X.EMAIL)})) AS INTEGER) AS n_emails, CAST(len(regexp_extract_all(coalesce(text, ''), {_q(X.LONG_NUMBER)})) AS INTEGER) AS n_numbers FROM documents) WHERE n_emails + n_numbers > 0",
+    "tidy_numeral_screen": f"""WITH cases AS (SELECT nullif(upper(trim(case_id, E' \\t\\n')), '') AS c, nullif(upper(trim(corpus_release_id, E' \\t\\n')), '') AS r, question, [nullif(upper(trim(g.evidence_id, E' \\t\\n')), '') FOR g IN gold_evidence] AS ids FROM benchmark_cases QUALIFY row_number() OVER (PARTITION BY c ORDER BY created_at DESC) = 1),
+ev AS (SELECT nullif(upper(trim(corpus_release_id, E' \\t\\n')), '') AS r, nullif(upper(trim(evidence_id, E' \\t\\n')), '') AS id, content_exact FROM corpus_evidence QUALIFY row_number() OVER (PARTITION BY r, id ORDER BY delivered_at DESC) = 1),
+asked AS (SELECT c, r, ids, unnest(list_distinct(regexp_extract_all(question, '{X.NUMERAL}'))) AS numeral FROM cases WHERE c IS NOT NULL),
+cited AS (SELECT c, r, numeral, unnest(CASE WHEN len(ids) > 0 THEN ids ELSE [NULL] END) AS id FROM asked)
+SELECT c AS case_id, numeral FROM cited LEFT JOIN ev USING (r, id)
+GROUP BY c, numeral HAVING NOT bool_or(coalesce(list_contains(regexp_extract_all(content_exact, '{X.NUMERAL}'), numeral), false))""",
     "numeral_screen": f"""WITH asked AS (SELECT DISTINCT case_id, corpus_release_id, [g.evidence_id FOR g IN gold_evidence] AS ids, unnest(list_distinct(regexp_extract_all(question, '{X.NUMERAL}'))) AS numeral FROM benchmark_cases),
 cited AS (SELECT case_id, corpus_release_id, numeral, unnest(CASE WHEN len(ids) > 0 THEN ids ELSE [NULL] END) AS evidence_id FROM asked)
 SELECT case_id, numeral FROM cited c LEFT JOIN corpus_evidence e USING (corpus_release_id, evidence_id)
