@@ -4,8 +4,8 @@ The filter is an array of 64-bit words. A key sets ``BITS`` bits of one word
 (chosen by a hash), so inserting is ``bit_or`` per word, a distributed
 aggregation with map-side combine, and probing is one array access. The array
 reaches the executors as a scalar subquery, hence as one broadcast value of
-``8 * words`` bytes. ``words`` is capped, so its size has a proven bound; more
-keys than planned only raise the share of false positives.
+``8 * words`` bytes, for which the caller sets a bound; more keys than planned
+only raise the share of false positives (1 % at 16 bits a key; see the README).
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 BITS = 5
 KEYS_PER_WORD = 4
-MAX_WORDS = 1 << 21  # 16 MB
+MAX_BYTES = 16 << 20
 
 
-def words_for(keys: int) -> int:
-    """A power of two with about 16 bits a key, never beyond ``MAX_WORDS``."""
-    return min(MAX_WORDS, 1 << max(6, math.ceil(math.log2(max(1, keys) / KEYS_PER_WORD + 1))))
+def words_for(keys: int, max_bytes: int = MAX_BYTES) -> int:
+    """A power of two with 16 to 32 bits a key, never beyond ``max_bytes`` in all."""
+    most = 1 << max(6, int(math.log2(max(64, max_bytes // 8))))
+    return min(most, 1 << max(6, math.ceil(math.log2(max(1, keys) / KEYS_PER_WORD + 1))))
 
 
 def _place(key: Column, words: int) -> Column:

@@ -1,16 +1,19 @@
 """Deeply nested semi-structured records as related flat tables.
 
 Each record streams through an event parser that turns it into
-path-value-ordinal triples; paths are grouped by their repeated ancestor, and
-each group is pivoted into one row per list element. No shuffle: a record's
-triples never leave the task that parsed it.
+path-value-ordinal triples; paths are grouped by their innermost repeated
+ancestor, which the paths themselves tell (a list that holds objects), and each
+group is pivoted into one row per list element. What lies under no list is the
+row of the record itself. No value is lost: it is a field of its row or an item
+of a list of scalars in it. No shuffle: a record's triples never leave the task
+that parsed it.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,16 +21,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: One JSON token: punctuation, string body, number, literal. Possessive, so damaged text costs linear time.
-_TOKEN = re.compile(
-    r"[ \t\n\r]*+(?:([{}\[\],:])"
-    r'|"((?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+)"'
-    r"|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)"
-    r"|(true|false|null))"
-)
-_BLANK = re.compile(r"[ \t\n\r]*+\Z")
+# Possessive, so damaged text costs linear time. A match takes a whole member or element, with what follows it.
+_BLANKS = r"[ \t\n\r]*+"
+_STRING = r'"((?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+)"'
+_SCALAR = rf"(?:{_STRING}|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null))"
+_MEMBER = re.compile(rf"{_BLANKS}{_STRING}{_BLANKS}:{_BLANKS}(?:{_SCALAR}{_BLANKS}([,}}])|([{{\[]))")
+_ELEMENT = re.compile(rf"{_BLANKS}(?:{_SCALAR}{_BLANKS}([,\]])|([{{\[]))")
+_WHOLE = re.compile(rf"{_BLANKS}(?:{_SCALAR}{_BLANKS}\Z|([{{\[]))")
+_AFTER = re.compile(rf"{_BLANKS}([,}}\]])")
+_EMPTY_OBJECT, _EMPTY_LIST = re.compile(rf"{_BLANKS}\}}"), re.compile(rf"{_BLANKS}\]")
+_REST = re.compile(rf"{_BLANKS}\Z")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 MARK = "[]"
+ROOT = ""  # list path of the row of the record itself
+MAX_DEPTH = 1000  # as Spark's own parser of JSON has it; a deeper text counts as damaged
+MAX_PATHS = 200_000  # known to a task at a time; keys may be data
+OPENED = object()  # in place of a value: an object begins here
 
 
 class Damaged(ValueError):
@@ -47,178 +56,302 @@ def _text(body: str) -> str:
     return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def triples(text: str, embedded: frozenset[str] = frozenset(), path: str = "", places: tuple[int, ...] = ()) -> Iterator[tuple[str, tuple[int, ...], str | None]]:
+class _Group:
+    """Where the value of a path goes: the innermost repeated ancestor and the path below it."""
+
+    __slots__ = ("head", "holder", "leaf", "passed", "sources", "whole")
+
+    def __init__(self, path: str, lists: frozenset[str], holds: bool):
+        """``holds``: the path is that of an object, hence an element if its last step is a list."""
+        self.head, self.holder, self.sources, self.passed, below = ROOT, None, (), 0, 0
+        parts, names, shown, sources, passed = path.split(".") if path else [], [], [], [], 0
+        for i, part in enumerate(parts):
+            name = part.rstrip(MARK)
+            marks = (len(part) - len(name)) // len(MARK)
+            names.append(name)
+            listed = ".".join(names) in lists
+            own = [None] if listed and not marks else [*range(passed, passed + marks)]  # None: a lone value counts as a list of one
+            sources, passed = [*sources, *own], passed + marks
+            plain = name.replace("%", "%%")
+            if own and (listed or holds or i + 1 < len(parts)):
+                self.head = ".".join(names) + MARK * (len(own) - 1)
+                self.holder = ".".join([*shown, plain + "[%d]" * (len(own) - 1)] if len(own) > 1 else shown)
+                self.sources, self.passed, below = tuple(sources), passed, i + 1
+            shown.append(plain + "[%d]" * len(own))
+        self.leaf = ".".join(parts[below:])
+        self.whole = self.sources == tuple(range(self.passed))
+
+    def own(self, places: tuple[int, ...]) -> tuple[int, ...]:
+        return places[: self.passed] if self.whole else tuple(0 if i is None else places[i] for i in self.sources)
+
+
+class _Path:
+    """A node of the tree of all paths seen in a task; what is known of a path is worked out once."""
+
+    __slots__ = ("_item", "by_key", "by_name", "embedded", "kept", "rows", "rules", "text", "values")
+
+    def __init__(self, text: str, rules: _Rules):
+        self.text, self.rules, self.embedded = text, rules, text in rules.embedded
+        rules.paths += 1
+        self.by_key: dict[str, _Path] = {}
+        self.by_name: dict[str, _Path] = {}
+        self._item: _Path | None = None
+        self.values = _Group(text, rules.lists, False)
+        below = _Group(text, rules.lists, True)
+        element = not text or text.endswith(MARK) or text in rules.plain_lists
+        self.rows = below if element and rules.wants(below.head) else None
+        self.kept = rules.wants(self.values.head, self.values.leaf)
+
+    def child(self, body: str) -> _Path:
+        name = snake(_text(body))
+        known = self.by_name.get(name)
+        if known is None:
+            known = self.by_name[name] = _Path(f"{self.text}.{name}" if self.text else name, self.rules)
+        if len(self.by_key) < 65536:
+            self.by_key[body] = known
+        return known
+
+    def item(self) -> _Path:
+        if self._item is None:
+            self._item = _Path(self.text + MARK, self.rules)
+        return self._item
+
+
+class _Rules:
+    """What the caller wants of a record."""
+
+    def __init__(self, lists: Iterable[str] = (), embedded: Iterable[str] = (), keep: dict[str, Iterable[str] | None] | None = None):
+        self.lists, self.embedded = frozenset(lists), frozenset(embedded)
+        self.keep = None if keep is None else {head: None if leaves is None else frozenset(leaves) for head, leaves in keep.items()}
+        self.plain_lists = _Listed(self.lists)
+        self.paths = 0
+
+    def wants(self, head: str, leaf: str | None = None) -> bool:
+        if self.keep is None:
+            return True
+        leaves = self.keep.get(head, ())
+        return head in self.keep and (leaf is None or leaves is None or leaf in leaves)
+
+
+class _Listed:
+    """Paths, with or without marks, whose last step is a list by the caller's word."""
+
+    def __init__(self, lists: frozenset[str]):
+        self.lists = lists
+
+    def __contains__(self, path: str) -> bool:
+        return path.replace(MARK, "") in self.lists
+
+
+def triples(text: str, root: _Path, places: tuple[int, ...] = ()) -> list[tuple[_Path, tuple[int, ...], object]]:
     """(path, ordinals, value) of each scalar of a JSON text, in its order; Damaged if it is not one complete value.
 
-    A path has the keys in snake_case, ``[]`` for each list passed; ordinals has
-    one position per ``[]``. Values are text, null is None. A string at a path in
-    ``embedded`` that is itself a JSON text is parsed in its place. The parser
-    keeps an explicit stack, so depth is bounded by memory only.
+    A path has the keys in snake_case and ``[]`` for each list passed; ordinals
+    has one position per ``[]``. Values are text; nulls are left out; where an
+    object begins, the value is ``OPENED``. A string at an embedded path that is
+    itself a JSON text is parsed in its place. The parser goes through the text
+    once, from token to token, with a stack of its own of ``MAX_DEPTH`` at most.
     """
-    # A frame is [is_list, path, ordinals, position]; state says what may come next.
-    stack: list[list] = []
-    at, state, key_path = 0, "value", path
-    here = places
+    out: list[tuple[_Path, tuple[int, ...], object]] = []
+
+    def scalar(path: _Path, here: tuple[int, ...], body: str | None, value: str | None) -> None:
+        if body is not None:
+            value = body if "\\" not in body else _text(body)
+            if path.embedded:
+                try:
+                    out.extend(triples(value, path, here))
+                    return
+                except Damaged:
+                    pass
+        if path.kept:
+            out.append((path, here, value))
+
+    start = _WHOLE.match(text)
+    if not start:
+        raise Damaged("no value")
+    body, number, literal, opened = start.groups()
+    if opened is None:
+        if literal != "null":
+            scalar(root, places, body, number or literal)
+        return out
+    at, fresh, position = start.end(), True, 0
+    is_list = opened == "["
+    path, here = (root.item(), (*places, 0)) if is_list else (root, places)
+    stack: list[tuple[bool, _Path, tuple[int, ...], int]] = []
+    member, element = _MEMBER.match, _ELEMENT.match
     while True:
-        if state == "end":
-            if not _BLANK.match(text, at):
-                raise Damaged("text after the value")
-            return
-        found = _TOKEN.match(text, at)
-        if not found:
-            raise Damaged(f"at {at}")
-        at = found.end()
-        mark, body, number, literal = found.groups()
-        if state in ("key", "key_or_close") and body is not None:
-            frame = stack[-1]
-            name = snake(_text(body))
-            key_path, here = (f"{frame[1]}.{name}" if frame[1] else name), frame[2]
-            colon = _TOKEN.match(text, at)
-            if not colon or colon.group(1) != ":":
-                raise Damaged(f"at {at}")
-            at, state = colon.end(), "value"
-            continue
-        closes = mark in ("}", "]") and stack and stack[-1][0] == (mark == "]")
-        if closes and state in ("key_or_close", "value_or_close", "comma"):
-            stack.pop()
-        elif state == "comma" and mark == ",":
-            frame = stack[-1]
-            if frame[0]:
-                frame[3] += 1
-                key_path, here, state = frame[1], (*frame[2], frame[3]), "value"
+        closed = False
+        if fresh:
+            fresh = False
+            if not is_list and path.rows is not None:
+                out.append((path, here, OPENED))
+            if end := (_EMPTY_LIST if is_list else _EMPTY_OBJECT).match(text, at):
+                at, closed = end.end(), True
+        if not closed:
+            if is_list:
+                if not (found := element(text, at)):
+                    raise Damaged(f"at {at}")
+                body, number, literal, mark, opened = found.groups()
+                target = path
             else:
-                state = "key"
-            continue
-        elif state in ("value", "value_or_close"):
-            if mark == "{":
-                stack.append([False, key_path, here, 0])
-                state = "key_or_close"
+                if not (found := member(text, at)):
+                    raise Damaged(f"at {at}")
+                key, body, number, literal, mark, opened = found.groups()
+                target = path.by_key.get(key) or path.child(key)
+            at = found.end()
+            if opened is not None:
+                stack.append((is_list, path, here, position))
+                if len(stack) > MAX_DEPTH:
+                    raise Damaged("too deep")
+                is_list = opened == "["
+                path, here, position = (target.item(), (*here, 0), 0) if is_list else (target, here, 0)
+                fresh = True
                 continue
-            if mark == "[":
-                stack.append([True, key_path + MARK, here, 0])
-                key_path, here, state = key_path + MARK, (*here, 0), "value_or_close"
+            if literal != "null" and (target.kept or target.embedded):
+                scalar(target, here, body, number or literal)
+            if mark == ",":
+                if is_list:
+                    position += 1
+                    here = (*here[:-1], position)
                 continue
-            if mark is not None:
+        while stack:
+            is_list, path, here, position = stack.pop()
+            found = _AFTER.match(text, at)
+            if not found:
+                raise Damaged(f"at {at}")
+            at, mark = found.end(), found.group(1)
+            if mark == ",":
+                if is_list:
+                    position += 1
+                    here = (*here[:-1], position)
+                break
+            if (mark == "]") != is_list:
                 raise Damaged(f"at {at}")
-            if body is not None:
-                value = _text(body)
-                inner = None
-                if key_path in embedded:
-                    try:
-                        inner = list(triples(value, embedded, key_path, here))
-                    except Damaged:
-                        inner = None
-                if inner is not None:
-                    yield from inner
-                else:
-                    yield key_path, here, value
-            else:
-                yield key_path, here, number if number is not None else (None if literal == "null" else literal)
         else:
-            raise Damaged(f"at {at}")
-        state = "comma" if stack else "end"
+            if not _REST.match(text, at):
+                raise Damaged("text after the value")
+            return out
 
 
-@lru_cache(maxsize=65536)
-def _grouping(path: str, repeated: frozenset[str]) -> tuple[str, str, tuple[int | None, ...], int] | None:
-    """Innermost repeated ancestor of a path, the path below it, where its positions come from, and how many lists the path passes down to it.
+Lists = dict[str, list[tuple[tuple[int, ...], str]]]
 
-    A lone value where a list is usual counts as a list of one: None stands for
-    its position, 0. Nothing for a path under no repeated ancestor.
-    """
-    names, found, sources, passed = [], None, [], 0
-    parts = path.split(".")
-    for i, part in enumerate(parts):
-        name = part.rstrip(MARK)
-        marks = (len(part) - len(name)) // len(MARK)
-        names.append(name)
-        if ".".join(names) in repeated and marks < 2:
-            sources.append(passed if marks else None)
-            found = (".".join(names), ".".join(parts[i + 1 :]), tuple(sources), passed + marks)
-        else:
-            sources += range(passed, passed + marks)
-        passed += marks
-    return found
 
+def nodes_of(text: str | None, root: _Path) -> list[tuple[_Group, tuple[int, ...], dict[str, str], Lists]]:
+    """The rows of a record as (group, ordinals, values by path below the element, items of lists of scalars by path).
 
-def nodes_of(text: str | None, repeated: frozenset[str], embedded: frozenset[str]) -> list[tuple[str, tuple[int, ...], dict[str, str], dict[str, dict[tuple[int, ...], str]]]]:
-    """Elements of the lists in ``repeated`` as (list path, ordinals, values by path below the element, values of lists below it by path and ordinals).
-
-    Triples are grouped by their innermost repeated ancestor. Null values are
-    left out; of several values for one path and ordinals the last counts.
-    Nothing for a null text, or one that isn't a complete JSON object.
+    Triples are grouped by their innermost repeated ancestor. Of several values
+    for one path and ordinals the last counts. Nothing for a null text, or one
+    that isn't a complete JSON object.
     """
-    if text is None:
+    if text is None or not text.lstrip(" \t\n\r").startswith("{"):
         return []
     try:
-        if not text.lstrip(" \t\n\r").startswith("{"):
-            return []
-        found = list(triples(text, embedded))
+        found = triples(text, root)
     except Damaged:
         return []
-    groups: dict[tuple[str, tuple[int, ...]], tuple[dict, dict]] = {}
+    groups: dict[tuple[str, tuple[int, ...]], tuple[_Group, dict[str, str], dict]] = {}
     for path, places, value in found:
-        if value is not None and (known := _grouping(path, repeated)):
-            head, leaf, sources, passed = known
-            own = tuple(0 if i is None else places[i] for i in sources)
-            values, lists = groups.setdefault((head, own), ({}, {}))
-            if below := places[passed:]:
-                lists.setdefault(leaf, {})[below] = value
+        group = path.rows if value is OPENED else path.values
+        own = places[: group.passed] if group.whole else group.own(places)
+        row = groups.get((group.head, own))
+        if row is None:
+            row = groups[group.head, own] = (group, {}, {})
+        if value is not OPENED:
+            if len(places) > group.passed:
+                row[2].setdefault(group.leaf, {})[places[group.passed :]] = value
             else:
-                values[leaf] = value
-    return [(head, places, values, lists) for (head, places), (values, lists) in groups.items()]
-
-
-def _parent(head: str, places: tuple[int, ...], repeated: frozenset[str]) -> str:
-    """Path of the object that holds the list, with the positions filled in: content.assets[2]."""
-    parts, names, used = [], [], 0
-    for name in head.split(".")[:-1]:
-        names.append(name)
-        parts.append(name)
-        if ".".join(names) in repeated:
-            parts[-1] += f"[{places[used]}]"
-            used += 1
-    return ".".join(parts)
+                row[1][group.leaf] = value
+    return [(group, own, values, {leaf: list(items.items()) for leaf, items in lists.items()}) for (_, own), (group, values, lists) in groups.items()]
 
 
+_ITEM = T.StructType([T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("value", T.StringType())])
 NODE_FIELDS = [
     T.StructField("list_path", T.StringType()),
     T.StructField("parent_path", T.StringType()),
     T.StructField("node_pos", T.IntegerType()),
     T.StructField("places", T.ArrayType(T.IntegerType())),
     T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("value", T.StringType())])))),
+    T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(_ITEM))),
 ]
 
 
-def flatten(records: DataFrame, key: str, payload: str, repeated: list[str], embedded: list[str] = ()) -> DataFrame:
-    """One row per element of the lists ``repeated`` (dotted paths, outermost first).
+class _Rows:
+    """Rows as flat Arrow buffers, which cost far less than nested Python values."""
+
+    def __init__(self) -> None:
+        self.owner: list[int] = []
+        self.head: list[str] = []
+        self.holder: list[str | None] = []
+        self.position: list[int | None] = []
+        self.places, self.place_ends = [], [0]
+        self.names, self.values, self.field_ends = [], [], [0]
+        self.list_names, self.list_ends = [], [0]
+        self.items, self.item_ends = [], [0]
+        self.item_places, self.item_place_ends = [], [0]
+
+    def add(self, owner: int, group: _Group, own: tuple[int, ...], values: dict[str, str], lists: Lists) -> None:
+        self.owner.append(owner)
+        self.head.append(group.head)
+        self.holder.append(None if group.holder is None else group.holder % own[:-1] if "%" in group.holder else group.holder)
+        self.position.append(own[-1] if own else None)
+        self.places += own
+        self.place_ends.append(len(self.places))
+        self.names += values.keys()
+        self.values += values.values()
+        self.field_ends.append(len(self.names))
+        for name, items in lists.items():
+            self.list_names.append(name)
+            for places, value in items:
+                self.item_places += places
+                self.item_place_ends.append(len(self.item_places))
+                self.items.append(value)
+            self.item_ends.append(len(self.items))
+        self.list_ends.append(len(self.list_names))
+
+    def arrays(self) -> list[pa.Array]:
+        int32, text = pa.int32(), pa.string()
+        ends = lambda e: pa.array(e, int32)
+        item = pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends(self.item_place_ends), pa.array(self.item_places, int32)), pa.array(self.items, text)], names=["places", "value"])
+        lists = pa.MapArray.from_arrays(ends(self.list_ends), pa.array(self.list_names, text), pa.ListArray.from_arrays(ends(self.item_ends), item))
+        fields = pa.MapArray.from_arrays(ends(self.field_ends), pa.array(self.names, text), pa.array(self.values, text))
+        return [pa.array(self.head, text), pa.array(self.holder, text), pa.array(self.position, int32), pa.ListArray.from_arrays(ends(self.place_ends), pa.array(self.places, int32)), fields, lists]
+
+
+def flatten(records: DataFrame, key: str, payload: str, lists: Iterable[str] = (), embedded: Iterable[str] = (), keep: dict[str, Iterable[str] | None] | None = None) -> DataFrame:
+    """One row per record and per element of each list that holds objects, at any depth.
+
+    The lists are found from the paths. ``lists``: dotted paths that are lists
+    even where a lone value stands for a list of one, or where they hold scalars.
+    ``embedded``: paths whose strings may themselves be JSON texts. ``keep``
+    prunes: only the rows of these list paths (``ROOT`` is the record) with only
+    these paths below them (None for all) come out; the whole text is read anyhow.
 
     Result: ``key``, ``list_path`` (content.assets), ``parent_path`` (path of the
     object holding the list, as content.assets[2]), ``node_pos``, ``places``
-    (positions from the root, which link parent and child), ``fields``, and
-    ``lists``: the values of each list below the element that isn't in
-    ``repeated``, by path (bbox[]), with their positions below the element.
-    Positions count null elements. Repeated records give repeated rows. Records
-    without a complete JSON object give none.
+    (positions from the root; those of the parent are their beginning), ``fields``
+    (scalars by path below the element) and ``lists`` (lists of scalars by path,
+    as bbox[], with the positions below the element). A list within a list is
+    named by its marks: a[] for the inner lists of a. Positions count null
+    elements, which give no row; an empty object gives a row. Equal records are
+    taken once, before they are parsed. Records without a complete JSON object
+    give nothing. Keys that hold a full stop can't be told from steps of a path.
     """
-    wanted, inside = frozenset(repeated), frozenset(embedded)
-    source = records.select(F.col(key).alias(key), F.col(payload).cast("string").alias("payload"))
+    rules = (tuple(lists), tuple(embedded), None if keep is None else {h: None if p is None else tuple(p) for h, p in keep.items()})
+    source = records.select(F.col(key).alias(key), F.col(payload).cast("string").alias("payload")).distinct()
     schema = T.StructType([source.schema[key], *NODE_FIELDS])
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string())]
-    kinds.append(pa.map_(pa.string(), pa.list_(pa.struct([("places", pa.list_(pa.int32())), ("value", pa.string())]))))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = _Path(ROOT, _Rules(*rules))
         for batch in batches:
-            ids, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for head, places, values, lists in nodes_of(text, wanted, inside):
-                    ids.append(i)
-                    below = [(path, [{"places": p, "value": v} for p, v in items.items()]) for path, items in lists.items()]
-                    rows.append((head, _parent(head, places, wanted), places[-1], places, list(values.items()), below))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            data = [batch.column(0).take(pa.array(ids, pa.int64())), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(data, names=[key, *[f.name for f in NODE_FIELDS]])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                rows = _Rows()
+                if root.rules.paths > MAX_PATHS:
+                    root = _Path(ROOT, _Rules(*rules))
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    for node in nodes_of(text, root):
+                        rows.add(i, *node)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows.owner, pa.int64())), *rows.arrays()], names=schema.names)
 
     return source.mapInArrow(parse, schema)
 
@@ -248,3 +381,19 @@ def pivot(nodes: DataFrame, key: str, list_path: str, fields: dict[str, str]) ->
     """
     values: list[Column] = [F.col("fields")[path].alias(name) for name, path in fields.items()]
     return nodes.where(F.col("list_path") == list_path).select(key, "parent_path", "node_pos", "places", *values)
+
+
+def list_table(nodes: DataFrame, key: str, list_path: str, path: str) -> DataFrame:
+    """A list of scalars below the elements of ``list_path`` as a child table: ``key``, ``places`` of the element, ``item_pos``, ``value``; a lone value is a list of one."""
+    held = nodes.where(F.col("list_path") == list_path).select(key, "places", F.col("lists")[path + MARK].alias("_many"), F.col("fields")[path].alias("_lone"))
+    lone = F.when(F.col("_lone").isNotNull(), F.array(F.struct(F.array(F.lit(0)).alias("places"), F.col("_lone").alias("value"))))
+    each = held.select(key, "places", F.explode(F.coalesce("_many", lone)).alias("_i"))
+    return each.select(key, "places", F.element_at("_i.places", -1).alias("item_pos"), F.col("_i.value").alias("value"))
+
+
+def path_report(nodes: DataFrame) -> DataFrame:
+    """What the records hold: ``list_path``, ``path`` below the element ([] marks lists), ``n_values`` and ``n_rows`` that have any."""
+    lone = F.transform(F.map_keys("fields"), lambda k: F.struct(k.alias("path"), F.lit(1).alias("n")))
+    many = F.transform(F.map_entries("lists"), lambda e: F.struct(e["key"].alias("path"), F.size(e["value"]).alias("n")))
+    each = nodes.select("list_path", F.explode(F.concat(lone, many)).alias("p"))
+    return each.groupBy("list_path", F.col("p.path").alias("path")).agg(F.sum("p.n").alias("n_values"), F.count(F.lit(1)).alias("n_rows"))

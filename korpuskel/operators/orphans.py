@@ -15,7 +15,7 @@ from korpuskel.operators import bloom
 MISSING, DELETED, LATER = "MISSING", "DELETED", "LATER"
 
 
-def snapshot_orphans(refs: DataFrame, parents: DataFrame, parent_rows: int) -> DataFrame:
+def snapshot_orphans(refs: DataFrame, parents: DataFrame, parent_rows: int, max_bytes: int = bloom.MAX_BYTES) -> DataFrame:
     """References whose parent isn't in the snapshot of their period, with ``orphan_kind``.
 
     ``refs``: any columns plus ``ref_value`` string and ``ordinal`` int (its
@@ -24,29 +24,26 @@ def snapshot_orphans(refs: DataFrame, parents: DataFrame, parent_rows: int) -> D
 
     DELETED if an earlier period has the parent, else LATER if a later one has,
     else MISSING. Null references and references of an unknown period aren't
-    judged. The filter holds two keys per parent, its key alone and its key with
-    the period. No hit for the key alone proves MISSING without any join. Other
-    references go through one exact join on the key against one row per parent
-    key with its periods, whose size is bounded by the number of periods. A hot
-    reference is split by adaptive skew handling, as the parent side has one
-    row a key.
+    judged. The filter holds one key per parent, whatever its periods. No hit
+    proves MISSING without any join. Other references go through one exact join
+    on the key against one row per parent key with its periods, whose size is
+    bounded by the number of periods. A hot reference is split by adaptive skew
+    handling, as the parent side has one row a key. ``max_bytes`` bounds the
+    filter and so what is broadcast; a filter too small for its keys lets more
+    references through to the join and changes no result.
     """
-    words = bloom.words_for(2 * parent_rows)
+    words = bloom.words_for(parent_rows, max_bytes)
     known = parents.where(F.col("parent_key").isNotNull() & F.col("parent_ordinal").isNotNull())
     by_key = known.groupBy(F.col("parent_key").alias("_key")).agg(F.collect_set("parent_ordinal").alias("_periods"))
-    alone = F.xxhash64("_key")
-    paired = F.transform("_periods", lambda o: F.xxhash64(F.col("_key"), o))
-    hashes = by_key.select(F.explode(F.concat(F.array(alone), paired)).alias("key"))
-    filtered = bloom.build(hashes, "key", words)
+    filtered = bloom.build(by_key.select(F.xxhash64("_key").alias("key")), "key", words)
 
     judged = refs.where(F.col("ref_value").isNotNull() & F.col("ordinal").isNotNull())
-    probed = judged.withColumn("_somewhere", bloom.maybe_in(filtered, F.xxhash64("ref_value"), words))
-    proved = probed.where(~F.col("_somewhere")).withColumn("orphan_kind", F.lit(MISSING)).drop("_somewhere")
-    doubtful = probed.where("_somewhere").withColumn("_here", bloom.maybe_in(filtered, F.xxhash64(F.col("ref_value"), F.col("ordinal")), words))
-    joined = doubtful.join(by_key, F.col("ref_value") == F.col("_key"), "left")
-    absent = ~F.col("_here") | ~F.coalesce(F.array_contains("_periods", F.col("ordinal")), F.lit(False))
+    probed = judged.withColumn("_maybe", bloom.maybe_in(filtered, F.xxhash64("ref_value"), words))
+    proved = probed.where(~F.col("_maybe")).withColumn("orphan_kind", F.lit(MISSING)).drop("_maybe")
+    joined = probed.where("_maybe").join(by_key, F.col("ref_value") == F.col("_key"), "left")
+    absent = ~F.coalesce(F.array_contains("_periods", F.col("ordinal")), F.lit(False))
     kind = F.when(F.array_min("_periods") < F.col("ordinal"), DELETED).when(F.array_max("_periods") > F.col("ordinal"), LATER).otherwise(MISSING)
-    verified = joined.where(absent).withColumn("orphan_kind", kind).drop("_somewhere", "_here", "_key", "_periods")
+    verified = joined.where(absent).withColumn("orphan_kind", kind).drop("_maybe", "_key", "_periods")
     return proved.unionByName(verified)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpuskel.functions.keys import latest_rows, ordinals, tidy
@@ -87,13 +87,26 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ASSETS, ASSET_ANCHORS, ANCHORS, CHECKS = "content.assets", "content.assets.anchors", "content.anchors", "verification.checks"
 FINDINGS = "verification.checks.details.findings"
+#: Lists even where a lone object stands for a list of one, and the parts that may be JSON text.
+LISTS, EMBEDDED = [ASSETS, ASSET_ANCHORS, ANCHORS, CHECKS, FINDINGS], ["content", "verification"]
 #: Entity, list and the field that is its value.
 ENTITIES = [("asset", ASSETS, "asset_id"), ("anchor", ANCHORS, "kind"), ("anchor", ASSET_ANCHORS, "kind"), ("check", CHECKS, "invariant")]
+ANCHOR_TEXTS = ["kind", "source_uri", "printed_page", "dom_selector", "xpath", "fhir_resource_type", "fhir_resource_id", "fhir_path", "table_id"]
+ANCHOR_NUMBERS = ["char_start", "char_end", "pdf_page", "row_index", "column_index"]
 
 
-def _nodes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str, keep: dict[str, list[str] | None] | None = None) -> DataFrame:
     raw = read_table(spark, sf_dir, "raw_records")
-    return nested.flatten(raw, "record_id", "payload", [ASSETS, ASSET_ANCHORS, ANCHORS, CHECKS, *more], ["content", "verification"])
+    return nested.flatten(raw, "record_id", "payload", LISTS, EMBEDDED, keep)
+
+
+def _path() -> Column:
+    """Path of an element, by which its children name it."""
+    return F.concat("parent_path", F.lit("."), F.element_at(F.split("list_path", r"\."), -1), F.lit("["), "node_pos", F.lit("]"))
+
+
+def _field(path: str) -> Column:
+    return F.col("fields")[path]
 
 
 def found_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +114,17 @@ def found_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, path, field in ENTITIES:
         entity = F.when(F.col("list_path") == path, name).otherwise(entity)
-        value = F.when(F.col("list_path") == path, F.col("fields")[field]).otherwise(value)
-    nodes = _nodes(spark, sf_dir).select("record_id", entity.alias("entity"), "parent_path", "node_pos", value.alias("node_value"))
-    return nodes.where(F.col("record_id").isNotNull() & F.col("node_value").isNotNull()).distinct()
+        value = F.when(F.col("list_path") == path, _field(field)).otherwise(value)
+    nodes = _nodes(spark, sf_dir, {path: [field] for _, path, field in ENTITIES})
+    valued = nodes.select("record_id", entity.alias("entity"), "parent_path", "node_pos", value.alias("node_value"))
+    return valued.where(F.col("record_id").isNotNull() & F.col("node_value").isNotNull()).distinct()
+
+
+def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records themselves: what lies under no list."""
+    fields = {"schema_version": "content", "source_version_id": "content", "title": "content", "content_exact": "content", "approval_status": "verification"}
+    nodes = _nodes(spark, sf_dir, {nested.ROOT: [f"{part}.{name}" for name, part in fields.items()]})
+    return nodes.select("record_id", *[_field(f"{part}.{name}").alias(name) for name, part in fields.items()])
 
 
 def asset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,32 +134,42 @@ def asset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "render_allowed": "licensing.render_allowed",
         "license_notes": "licensing.notes",
     }
-    return nested.pivot(_nodes(spark, sf_dir), "record_id", ASSETS, fields).distinct()
+    nodes = _nodes(spark, sf_dir, {ASSETS: [*fields.values()]})
+    return nodes.select("record_id", "parent_path", "node_pos", _path().alias("node_path"), *[_field(path).alias(name) for name, path in fields.items()])
 
 
 def anchor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors of contents and of assets; places links the latter to their asset."""
-    texts = ["kind", "source_uri", "printed_page", "dom_selector", "xpath", "fhir_resource_type", "fhir_resource_id", "fhir_path", "table_id"]
-    numbers = ["char_start", "char_end", "pdf_page", "row_index", "column_index"]
-    fields = {c: c for c in texts + numbers}
-    nodes = _nodes(spark, sf_dir)
-    both = nodes.where(F.col("list_path").isin(ANCHORS, ASSET_ANCHORS)).select("record_id", "parent_path", "node_pos", "places", *[F.col("fields")[p].alias(c) for c, p in fields.items()], F.transform(nested.items("bbox"), lambda x: x.try_cast("double")).alias("bbox"))
-    for c in numbers:
-        both = both.withColumn(c, F.col(c).try_cast("int"))
-    return both.distinct()
+    """Anchors of contents and of assets; parent_path is the node_path of the asset. bbox has its numbers as they are written, joined by commas."""
+    names = [*ANCHOR_TEXTS, *ANCHOR_NUMBERS, "bbox", "bbox[]"]
+    nodes = _nodes(spark, sf_dir, {ANCHORS: names, ASSET_ANCHORS: names})
+    typed = [_field(c).alias(c) for c in ANCHOR_TEXTS] + [_field(c).try_cast("int").alias(c) for c in ANCHOR_NUMBERS]
+    return nodes.select("record_id", "parent_path", "node_pos", _path().alias("node_path"), *typed, F.array_join(nested.items("bbox"), ",", "null").alias("bbox"))
+
+
+def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the anchors' boxes, one a row: a list of scalars as a child table."""
+    nodes = _nodes(spark, sf_dir, {ANCHORS: ["bbox", "bbox[]"], ASSET_ANCHORS: ["bbox", "bbox[]"]})
+    each = nodes.select("record_id", _path().alias("node_path"), F.posexplode(nested.items("bbox")).alias("item_pos", "value"))
+    return each.select("record_id", "node_path", "item_pos", F.col("value").try_cast("double").alias("value"))
 
 
 def check_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verification checks; details has all values below them as (path, places, value)."""
-    nodes = _nodes(spark, sf_dir).where(F.col("list_path") == CHECKS)
-    fields = [F.col("fields")[c].alias(c) for c in ("invariant", "outcome", "verifier", "evidence_digest")]
-    return nodes.select("record_id", "parent_path", "node_pos", "places", *fields, nested.under("details").alias("details")).distinct()
+    """Verification checks; details has all scalars below them by path, as a JSON object."""
+    nodes = _nodes(spark, sf_dir, {CHECKS: None})
+    fields = [_field(c).alias(c) for c in ("invariant", "outcome", "verifier", "evidence_digest")]
+    details = F.transform_keys(F.map_filter("fields", lambda k, _: k.startswith("details.")), lambda k, _: F.substring(k, 9, 1 << 30))
+    return nodes.select("record_id", "parent_path", "node_pos", _path().alias("node_path"), *fields, F.to_json(details).alias("details"))
 
 
 def finding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the checks with their notes; places links them to their check."""
-    nodes = _nodes(spark, sf_dir, FINDINGS).where(F.col("list_path") == FINDINGS)
-    return nodes.select("record_id", "parent_path", "node_pos", "places", F.col("fields")["field"].alias("field"), nested.items("notes").alias("notes")).distinct()
+    """Findings of the checks with their notes, joined by |; parent_path begins with the node_path of the check."""
+    nodes = _nodes(spark, sf_dir, {FINDINGS: None})
+    return nodes.select("record_id", "parent_path", "node_pos", _field("field").alias("field"), F.array_join(nested.items("notes"), "|", "null").alias("notes"))
+
+
+def record_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of the records by its repeated ancestor, with the number of its values and of the rows that have any."""
+    return nested.path_report(_nodes(spark, sf_dir))
 
 
 QUERIES = {
@@ -147,10 +178,13 @@ QUERIES = {
     "p4_found": found_changes,
     "p4_report": change_counts,
     "p5_found": found_nodes,
+    "p5_records": record_table,
     "p5_assets": asset_table,
     "p5_anchors": anchor_table,
     "p5_checks": check_table,
     "p5_findings": finding_table,
+    "p5_boxes": box_table,
+    "p5_paths": record_paths,
 }
 
 _TIDY = "nullif(upper(trim({0}, E' \\t\\n')), '')"
@@ -216,19 +250,51 @@ def _items(column: str, snake_key: str) -> str:
     return f"CASE json_type({part}) WHEN 'ARRAY' THEN CAST({part} AS JSON[]) WHEN 'OBJECT' THEN [{part}] ELSE [] END"
 
 
-_P5_SQL = f"""WITH raw AS (SELECT DISTINCT record_id, payload FROM raw_records WHERE record_id IS NOT NULL AND json_valid(payload)),
+def _key(column: str, name: str, *within: str) -> str:
+    """A member as text, its key in either style."""
+    head, *more = name.split("_")
+    camel = head + "".join(w.capitalize() for w in more)
+    path = "".join(f"{w}." for w in within)
+    return f"coalesce({column} ->> '$.{path}{name}', {column} ->> '$.{path}{camel}')"
+
+
+_P5_BASE = f"""raw AS (SELECT DISTINCT record_id, payload FROM raw_records WHERE json_valid(payload)),
 p AS (SELECT record_id, CAST(payload AS JSON) AS p FROM raw WHERE json_type(payload) = 'OBJECT'),
 parts AS (SELECT record_id, {_object("content")} AS c, {_object("verification")} AS v FROM p),
 assets AS (SELECT record_id, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS i FROM (SELECT record_id, {_items("c", "assets")} AS l FROM parts)),
 inner_anchors AS (SELECT record_id, i, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS k FROM (SELECT record_id, i, {_items("o", "anchors")} AS l FROM assets)),
-anchors AS (SELECT record_id, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS i FROM (SELECT record_id, {_items("c", "anchors")} AS l FROM parts)),
+outer_anchors AS (SELECT record_id, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS i FROM (SELECT record_id, {_items("c", "anchors")} AS l FROM parts)),
+anchors AS (
+  SELECT record_id, 'content' AS parent_path, i AS pos, o FROM outer_anchors
+  UNION ALL SELECT record_id, 'content.assets[' || i || ']', k, o FROM inner_anchors),
 checks AS (SELECT record_id, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS i FROM (SELECT record_id, {_items("v", "checks")} AS l FROM parts)),
+findings AS (SELECT record_id, i, unnest(l) AS o, generate_subscripts(l, 1) - 1 AS k FROM (SELECT record_id, i, {_items("(o -> '$.details')", "findings")} AS l FROM checks))"""
+
+_P5_SQL = f"""WITH {_P5_BASE},
 every AS (
-  SELECT record_id, 'asset' AS entity, 'content' AS parent_path, i AS node_pos, coalesce(o ->> '$.asset_id', o ->> '$.assetId') AS node_value FROM assets
-  UNION ALL SELECT record_id, 'anchor', 'content', i, o ->> '$.kind' FROM anchors
-  UNION ALL SELECT record_id, 'anchor', 'content.assets[' || i || ']', k, o ->> '$.kind' FROM inner_anchors
+  SELECT record_id, 'asset' AS entity, 'content' AS parent_path, i AS node_pos, {_key("o", "asset_id")} AS node_value FROM assets
+  UNION ALL SELECT record_id, 'anchor', parent_path, pos, o ->> '$.kind' FROM anchors
   UNION ALL SELECT record_id, 'check', 'verification', i, o ->> '$.invariant' FROM checks)
-SELECT DISTINCT record_id, entity, parent_path, CAST(node_pos AS INTEGER) AS node_pos, node_value FROM every WHERE node_value IS NOT NULL"""
+SELECT DISTINCT record_id, entity, parent_path, CAST(node_pos AS INTEGER) AS node_pos, node_value FROM every WHERE node_value IS NOT NULL AND record_id IS NOT NULL"""
+
+
+def _list_text(column: str, name: str, separator: str) -> str:
+    return f"CASE json_type({column}, '$.{name}') WHEN 'ARRAY' THEN nullif(array_to_string([x ->> '$' FOR x IN CAST({column} -> '$.{name}' AS JSON[])], '{separator}'), '') ELSE {column} ->> '$.{name}' END"
+
+
+def _cast(name: str) -> str:
+    return f"TRY_CAST({_key('o', name)} AS INTEGER) AS {name}"
+
+
+_OBJECTS = "json_type(o) = 'OBJECT'"
+_NESTED_SQL = {
+    "p5_records": "SELECT record_id, " + ", ".join(f"{_key(part, name)} AS {name}" for part, name in (("c", "schema_version"), ("c", "source_version_id"), ("c", "title"), ("c", "content_exact"), ("v", "approval_status"))) + " FROM parts",
+    "p5_assets": f"SELECT record_id, 'content' AS parent_path, CAST(i AS INTEGER) AS node_pos, 'content.assets[' || i || ']' AS node_path, {', '.join(f'{_key('o', n)} AS {n}' for n in ('asset_id', 'authority_role', 'experimental'))}, {', '.join(f'{_key('o', n, 'licensing')} AS {c}' for c, n in (('license_id', 'license_id'), ('render_allowed', 'render_allowed'), ('license_notes', 'notes')))} FROM assets WHERE {_OBJECTS}",
+    "p5_anchors": f"SELECT record_id, parent_path, CAST(pos AS INTEGER) AS node_pos, parent_path || '.anchors[' || pos || ']' AS node_path, {', '.join(f'{_key('o', n)} AS {n}' for n in ANCHOR_TEXTS)}, {', '.join(map(_cast, ANCHOR_NUMBERS))}, {_list_text('o', 'bbox', ',')} AS bbox FROM anchors WHERE {_OBJECTS}",
+    "p5_checks": f"SELECT record_id, 'verification' AS parent_path, CAST(i AS INTEGER) AS node_pos, 'verification.checks[' || i || ']' AS node_path, {', '.join(f'{_key('o', n)} AS {n}' for n in ('invariant', 'outcome', 'verifier', 'evidence_digest'))}, CASE WHEN o ->> '$.details.invariant' IS NULL THEN '{{}}' ELSE CAST(json_object('invariant', o ->> '$.details.invariant') AS VARCHAR) END AS details FROM checks WHERE {_OBJECTS}",
+    "p5_findings": f"SELECT record_id, 'verification.checks[' || i || '].details' AS parent_path, CAST(k AS INTEGER) AS node_pos, o ->> '$.field' AS field, {_list_text('o', 'notes', '|')} AS notes FROM findings WHERE {_OBJECTS}",
+    "p5_boxes": "SELECT record_id, parent_path || '.anchors[' || pos || ']' AS node_path, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS item_pos, CAST(unnest(b) AS DOUBLE) AS value FROM (SELECT record_id, parent_path, pos, CAST(o -> '$.bbox' AS JSON[]) AS b FROM anchors WHERE json_type(o, '$.bbox') = 'ARRAY')",
+}
 
 SQL = {
     "p1_found": _P1_SQL,
@@ -236,4 +302,4 @@ SQL = {
     "p4_found": _P4_SQL,
     "p4_report": f"SELECT corpus_release_id, change_kind, count(*) AS n_ids FROM ({_P4_SQL}) GROUP BY ALL",
     "p5_found": _P5_SQL,
-}
+} | {name: f"WITH {_P5_BASE}\n{sql}" for name, sql in _NESTED_SQL.items()}
