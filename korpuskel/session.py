@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def build_session(app: str = "korpuskel", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     } | conf
     for key, value in settings.items():
@@ -33,10 +36,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_korpuskel_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        shutil.copytree(package, Path(folder, "zip", package.name), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="korpuskel-"), package.name)), "zip", Path(folder, "zip"))
-    context.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="korpuskel-")  # code only, on the driver; the context serves it to the workers as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
     context._korpuskel_shipped = True
 
 
@@ -49,13 +55,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, taken from ``spark.checkpoint.dir``.
 
-    A private temporary folder is made only where the session names none, which
-    is right on one machine (tests) and never on a cluster that is set up.
+    Where the session names none, a private temporary folder is made on a local
+    master (tests), to go with the process; on a cluster it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"korpuskel-{os.getpid()}-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix=f"korpuskel-{os.getpid()}-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
