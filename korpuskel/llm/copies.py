@@ -67,14 +67,15 @@ def collapse(members: DataFrame, group: list[str], ident: str, total_rows: int,
     groups: ``group``, ``kept`` (smallest ``ident``), ``n_copies`` (members,
     the kept one among them), for every group. copies: ``group``, ``kept`` and
     ``copy`` for each member but the kept one. ``ident`` is unique in a group;
-    rows with a null ``ident`` are left out.
+    rows with a null ``ident`` or a null in ``group`` are left out.
 
     Exact partial counts find the hot keys, those of more than ``hot_rows``
     members (raised so that there are at most ``MAX_HOT_KEYS``, which bounds
     what is broadcast). Hot keys are salted into a two-level aggregation, others
     take one shuffle; both choose the smallest identifier.
     """
-    members = members.where(F.col(ident).isNotNull())
+    # Said for all columns: were it left to the joins, their sides would differ and the members be made once for each.
+    members = members.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in [*group, ident]]))
     limit = max(hot_rows, -(-total_rows // MAX_HOT_KEYS))
     counted = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     hot = counted.where(F.col("_n") > limit).select(*group)
