@@ -124,7 +124,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, subjects.Mode
 
 
 def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subjects.areas_of(*_trained(spark, sf_dir))
+    return subjects.areas_of(*_trained(spark, sf_dir), "doc_id")
 
 
 def found_areas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ documents, and each area's score is turned into a posterior of its own by
 calibration on the labelled documents. A document's areas are those with at
 least a given share of its sentences about any area.
 
-Texts are turned into hashed features once, written to the shared folder; each
-pass over them is one job that returns sums of a fixed size.
+Texts are turned into hashed features once, in chunks of documents with their
+features in order, written to the shared folder; each pass over them is one job
+that returns sums of a fixed size, a few blocks for each of a bounded number of
+tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ LONG = 64  # sentences; a longer document weighs as much as one of this length i
 MAX_LABELLED = 200_000  # documents; bounds what is broadcast
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\r?\n\s*(?=[^\W\d_])")
+_BROKEN = re.compile(r"[-‐](?<=[^\W\d_][-‐])\r?\n\s*(?=[^\W\d_])")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _CELL = re.compile(r"^[^\w\n]*[A-Za-z]{1,3}\d+\s*=", re.M)
 _END = re.compile(r"[.!?…]+[\"»”’')\]]*(?:\s+|$)|;\s+(?=[^\Wa-zà-öø-ÿ\d])|\n\s*\n|[\r\n]+\s*(?=[^\Wa-zà-öø-ÿ\d]|[-*•·–]\s|[\"«“(\[])")
@@ -65,44 +67,79 @@ def sentences(text: str) -> list[str]:
     return [s for s in found if s.strip()]
 
 
-class Hasher:
-    """Features of sentences as numbers; words already seen are looked up."""
+class _Codes(dict):
+    """A number for each word, as bytes; words already seen are looked up."""
 
     MOST = 1 << 20
 
     def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
-
-    def words(self, sentence: str) -> list[int]:
-        out = []
-        for word in _WORD.findall(sentence.lower()):
-            known = self.seen.get(word)
-            if known is None:
-                if len(self.seen) >= self.MOST:
-                    self.seen.clear()
-                known = self.seen[word] = zlib.crc32(word.encode("utf-8", "replace"))
-            out.append(known)
-        return out
-
-    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(features of all sentences one after another, number of features of each)."""
-        lists = [w for s in sentences(text or "") if (w := self.words(s))]
-        if not lists:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        sizes = np.array([len(w) for w in lists])
-        one = np.concatenate([np.array(w, np.uint64) for w in lists])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        joined = owner[1:] == owner[:-1]
-        two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77) + np.uint64(1))[joined]
-        two ^= two >> np.uint64(29)
-        ids = np.concatenate([one, two]) % np.uint64(FEATURES)
-        of = np.concatenate([owner, owner[1:][joined]])
-        pairs = np.unique(of * FEATURES + ids.astype(np.int64))  # a feature counts once in a sentence
-        return (pairs % FEATURES).astype(np.int32), np.bincount(pairs // FEATURES, minlength=len(sizes)).astype(np.int32)
+        super().__init__({_GAP_MARK: _GAP})
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+            self[_GAP_MARK] = _GAP
+        code = self[word] = zlib.crc32(word)
+        return code
+
+
+_GAP, _GAP_MARK = 1 << 32, b"\x01"  # between sentences; no word has it
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c == 1 else 32 for c in range(256))
+
+
+_WORD_OR_MARK = re.compile("[^\\W\\d_]+|\x01")
+
+
+def _words(found: list[str]) -> list[bytes]:
+    """The words of sentences without marks, in lower case, with a mark after each sentence."""
+    joined = " \x01 ".join([*found, ""])
+    if joined.isascii():
+        return joined.encode().translate(_LETTERS).split()
+    return [w.encode("utf-8", "replace") for w in _WORD_OR_MARK.findall(joined.lower())]
+
+
+CHUNK_CHARS, CHUNK_DOCS = 500_000, 2000  # of a chunk; a longer document is one of its own
+_FIELDS = ["lengths", "labels", "features", "counts", "postings"]
+
+
+def _postings(texts: list[str | None], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentences of each text, features in order, postings of each, their sentences) of some texts.
+
+    Features are words and pairs of adjacent words of a sentence; one counts once in a sentence.
+    """
+    words, per_doc = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if text:
+            found = sentences(text.replace("\x01", " "))
+            per_doc[i] = len(found)
+            words += _words(found)
+    if not words:
+        return per_doc.astype(np.int32), *[np.zeros(0, np.int32)] * 3
+    one = np.array(list(map(codes.__getitem__, words)), np.uint64)
+    gap = one == _GAP
+    owner = np.cumsum(gap) - gap
+    worded = np.zeros(int(per_doc.sum()), bool)
+    worded[owner[~gap]] = True  # a sentence without a word is none
+    renumbered = np.cumsum(worded) - 1
+    doc = np.repeat(np.arange(len(texts)), per_doc)
+    lengths = np.bincount(doc[worded], minlength=len(texts))
+    joined = ~gap[1:] & ~gap[:-1]
+    two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77) + np.uint64(1))[joined]
+    two ^= two >> np.uint64(29)
+    ids = np.concatenate([one[~gap], two]) % np.uint64(FEATURES)
+    of = renumbered[np.concatenate([owner[~gap], owner[1:][joined]])]
+    n = max(1, int(lengths.sum()))
+    pairs = np.sort(ids.astype(np.int64) * n + of)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    each = pairs // n
+    starts = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(each)]]))
+    return lengths.astype(np.int32), each[starts].astype(np.int32), counts.astype(np.int32), (pairs - each * n).astype(np.uint16 if n <= 1 << 16 else np.uint32)
 
 
 def featurise(docs: DataFrame, ident: str, text: str, labels: DataFrame, areas: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``ident``, ``features``, ``sizes`` (features of each sentence) and ``labels`` (area numbers, null without).
+    """Chunks of documents: ``ids``, ``lengths`` (sentences of each), ``labels`` (area numbers, null without), and the
+    chunk's distinct ``features`` in order with the number and the sentences of their ``postings`` as packed numbers.
 
     Written to the shared folder. ``labels`` has ``ident`` and ``subject``; those of
     at most ``max_labelled`` documents, the ones of the smallest hashes, are used.
@@ -113,18 +150,79 @@ def featurise(docs: DataFrame, ident: str, text: str, labels: DataFrame, areas:
     bounded = given.orderBy(F.xxhash64(ident), ident).limit(max_labelled)
     source = docs.select(ident, text).join(F.broadcast(bounded), ident, "left").select(ident, text, "labels")
     numbers = T.ArrayType(T.IntegerType())
-    schema = T.StructType([source.schema[ident], *[T.StructField(n, numbers) for n in ("features", "sizes", "labels")]])
+    kinds = [numbers, T.ArrayType(numbers), T.BinaryType(), T.BinaryType(), T.BinaryType()]
+    schema = T.StructType([T.StructField("ids", T.ArrayType(source.schema[ident].dataType)), *[T.StructField(n, k) for n, k in zip(_FIELDS, kinds, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for part in _small(batches, 500):  # few at a time, as texts may be long
-            found = [hasher.features(t) for t in part.column(1).to_pylist()]
-            columns = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2)], names=schema.names)
+        codes = _Codes()
+        for batch in batches:
+            sizes = np.asarray(pa.compute.utf8_length(batch.column(1)).fill_null(0))
+            start = 0
+            while start < batch.num_rows:
+                upto = np.searchsorted(np.cumsum(sizes[start : start + CHUNK_DOCS]), CHUNK_CHARS)
+                part = batch.slice(start, max(1, int(upto)))
+                start += part.num_rows
+                lengths, features, counts, postings = _postings(part.column(1).to_pylist(), codes)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (part.column(0), pa.array(lengths), part.column(2))]
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (features, counts, postings)]
+                yield pa.RecordBatch.from_arrays([*lists, *packed], names=schema.names)
 
     return cut(source.mapInArrow(run, schema))
 
 
+class _Chunk:
+    """A row of ``featurise`` as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, areas: int):
+        one = batch.slice(row, 1)
+        self.ids = one.column("ids").flatten()
+        self.lengths = np.asarray(one.column("lengths").flatten())
+        self.docs, self.sentences = len(self.lengths), int(self.lengths.sum())
+        self.features, self.counts, raw = (np.frombuffer(one.column(n)[0].as_py(), t) for n, t in (("features", np.int32), ("counts", np.int32), ("postings", np.uint8)))
+        total = int(self.counts.sum())
+        self.of = raw.view(np.uint16 if len(raw) == 2 * total else np.uint32).astype(np.int64)
+        self.doc = np.repeat(np.arange(self.docs), self.lengths)
+        labels = one.column("labels").flatten()
+        owner = np.repeat(np.arange(self.docs), np.asarray(pa.compute.list_value_length(labels).fill_null(0)))
+        self.labelled = np.asarray(labels.is_valid())
+        self.given = np.zeros((self.docs, areas), np.float32)
+        self.given[owner, np.asarray(labels.flatten(), dtype=np.int64)] = 1
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of the features of each sentence, by area."""
+        own = weights[self.features]
+        telling = own.any(1)
+        of = self.of[np.repeat(telling, self.counts)]
+        each = np.repeat(own[telling], self.counts[telling], 0)
+        return np.stack([np.bincount(of, each[:, a], self.sentences) for a in range(weights.shape[1])], 1).astype(np.float32)
+
+    def sums(self, share: np.ndarray) -> np.ndarray:
+        """Rows of ``share`` (one a sentence) summed over the postings of each feature."""
+        if not len(self.features):
+            return np.zeros((0, share.shape[1]))
+        starts = np.cumsum(self.counts) - self.counts
+        return np.add.reduceat(share[self.of], starts, 0)
+
+
+    def add_labelled(self, share: np.ndarray, total: np.ndarray) -> None:
+        """Adds the shares of the sentences of labelled documents to the counts of their features; the others have none."""
+        if not self.labelled.any():
+            return
+        mine = self.labelled[self.doc][self.of]
+        per_feature = np.bincount(np.repeat(np.arange(len(self.features)), self.counts)[mine], minlength=len(self.features))
+        used = per_feature > 0
+        if used.any():
+            counts = per_feature[used]
+            total[self.features[used], : share.shape[1]] += np.add.reduceat(share[self.of[mine]], np.cumsum(counts) - counts, 0)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], areas: int) -> Iterator[_Chunk]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield _Chunk(batch, row, areas)
+
+
 @dataclass
 class Model:
     """Weights of the features per area, and the calibration of each area's score."""
@@ -133,6 +231,7 @@ class Model:
     weights: np.ndarray  # feature, area
     slope: np.ndarray
     offset: np.ndarray
+    moves: list[float] = field(default_factory=list)  # of the weights in each round, as a share of their sum
 
     def posteriors(self, scores: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(np.minimum(scores, BINS * BIN_WIDTH) * self.slope + self.offset)))
@@ -147,117 +246,110 @@ def weigh(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(ratio > SELECT, ratio, 0).astype(np.float32)
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, their sentences, and the documents of the sentences."""
-    features = np.asarray(batch.column("features").flatten())
-    sizes = np.asarray(batch.column("sizes").flatten())
-    per_doc = np.asarray(pa.compute.list_value_length(batch.column("sizes")).fill_null(0))
-    return features, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(batch.num_rows), per_doc)
-
-
-def _scores(features: np.ndarray, of: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, weights.shape[1]))
-    telling = weights.any(1)[features]
-    features, of = features[telling], of[telling]
-    for a in range(weights.shape[1]):
-        out[:, a] = np.bincount(of, weights[features, a], n)
-    return out
-
-
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def _given(batch: pa.RecordBatch, areas: int) -> np.ndarray:
-    """Labels of the documents of a batch, one row of 0 and 1 each."""
-    labels = batch.column("labels")
-    owner = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(labels).fill_null(0)))
-    given = np.zeros((batch.num_rows, areas))
-    given[owner, np.asarray(labels.flatten())] = 1
-    return given
-
-
 def _expect(scores: np.ndarray, given: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Shares of the areas in each sentence (the rest is no area), from its score and its document.
 
     An area gains by the share that it has in the other sentences and the labels of the document.
     """
-    share, gain = np.zeros_like(scores), 0.0
+    share, gain = np.zeros_like(scores), np.float32(0)
+    if not len(doc):
+        return share
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))  # a document's sentences stand together
+    filled = doc[starts]
     for _ in range(2):
-        odds = scores - CLEAR + gain
+        odds = scores - np.float32(CLEAR) + gain
         top = np.maximum(odds.max(1, keepdims=True), 0)
         share = np.exp(odds - top)
         share /= share.sum(1, keepdims=True) + np.exp(-top)
         inside = given.copy()
-        np.add.at(inside, doc, share)
+        inside[filled] += np.add.reduceat(share, starts, 0)
         inside = inside[doc] - share
-        gain = np.log1p(np.expm1(CONTEXT) * inside / (0.5 + inside.sum(1, keepdims=True)))
+        gain = np.log1p(np.float32(np.expm1(CONTEXT)) * inside / (0.5 + inside.sum(1, keepdims=True)))
     return share
 
 
-def _counts(features: DataFrame, areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature counts per area and overall, and sums over all sentences: shares of the areas, weights, number.
+BLOCK = 4096  # features whose sums travel together
+MOST_BLOCKS = 64  # added up in one task
+
+
+def _gathered(features: DataFrame) -> DataFrame:
+    """The chunks in a few tasks a core: each gives out sums of a fixed size, so tasks must not grow with the data."""
+    return features.coalesce(4 * features.sparkSession.sparkContext.defaultParallelism)
+
 
-    Without a model the areas of a row are its labels in equal parts, and each row
-    weighs as one sentence, lest a long one with a wrong label prevail.
+def _counts(features: DataFrame, areas: int, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature counts per area, and sums over all sentences: shares of the areas, weights, number.
+
+    Without a model the areas of a document are its labels in equal parts, and
+    each document weighs as one sentence, lest a long one with a wrong label
+    prevail; two more columns then have the counts of all documents, so weighed
+    and weighed as in the steps with a model.
     """
     sent = features.sparkSession.sparkContext.broadcast(model)
+    width = areas + 2 * (model is None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        total = np.zeros((FEATURES + 1, areas + 2))
-        for batch in _small(batches):
-            flat, of, doc = _arrays(batch)
-            if not len(doc):
-                continue
-            given, length = _given(batch, areas), np.bincount(doc, minlength=batch.num_rows)[doc]
+        total, sums = np.zeros((FEATURES, width)), np.zeros(areas + 2)
+        for chunk in _chunks(batches, areas):
+            length = chunk.lengths[chunk.doc]
+            weight = usual = np.minimum(1, LONG / length).astype(np.float32)
             if model is None:
-                weight = 1 / length
-                share = (given / np.maximum(1, given.sum(1, keepdims=True)))[doc]
+                weight = (1 / length).astype(np.float32)
+                share = (chunk.given / np.maximum(1, chunk.given.sum(1, keepdims=True)))[chunk.doc] * weight[:, None]
+                chunk.add_labelled(share, total)
+                total[chunk.features, areas:] += chunk.sums(np.column_stack([weight, usual]))
             else:
-                weight = np.minimum(1, LONG / length)
-                share = _expect(_scores(flat, of, len(doc), model.weights), given, doc)
-            share = share * weight[:, None]
-            for a in range(areas):
-                total[:FEATURES, a] += np.bincount(flat, share[of, a], FEATURES)
-            total[:FEATURES, areas] += np.bincount(flat, weight[of], FEATURES)
-            total[FEATURES] += [*share.sum(0), weight.sum(), len(doc)]
-        used = np.flatnonzero(total[:, areas])
-        for at in range(0, len(used), 20_000):
-            part = used[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(total[part, i]) for i in range(areas + 2)]], names=["f", *names])
-
-    names = [f"c{i}" for i in range(areas + 2)]
-    schema = T.StructType([T.StructField("f", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
-    summed = features.mapInArrow(run, schema).groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+                share = _expect(chunk.scores(model.weights), chunk.given, chunk.doc) * weight[:, None]
+                total[chunk.features] += chunk.sums(share)
+            sums += [*share[:, :areas].sum(0, dtype=np.float64), weight.sum(dtype=np.float64), chunk.sentences]
+        used = [i for i in range(0, FEATURES, BLOCK) if total[i : i + BLOCK].any()]
+        blocks = [total[i : i + BLOCK].astype(np.float32).tobytes() for i in used]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int32()), pa.array([sums.tobytes(), *blocks], pa.binary())], names=["at", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        kind = np.float64 if table["at"][0].as_py() < 0 else np.float32
+        summed = sum(np.frombuffer(x.as_py(), kind).astype(np.float64) for x in table["sums"])
+        return pa.Table.from_arrays([table["at"].slice(0, 1).combine_chunks(), pa.array([summed.astype(kind).tobytes()], pa.binary())], names=["at", "sums"])
+
+    schema = "at int, sums binary"
+    gathered = _gathered(features)
+    parts = gathered.mapInArrow(run, schema)
+    if (tasks := gathered.rdd.getNumPartitions()) > MOST_BLOCKS:  # else one block of all tasks might not fit a task
+        salt = F.spark_partition_id() % (tasks // MOST_BLOCKS + 1)
+        parts = parts.withColumn("salt", salt).groupBy("at", "salt").applyInArrow(lambda t: add(t.drop(["salt"])), schema)
+    blocks = parts.groupBy("at").applyInArrow(add, schema).toArrow().to_pylist()
     sent.unpersist()
-    out = np.zeros((FEATURES + 1, areas + 2))
-    if summed.num_rows:
-        out[np.asarray(summed["f"])] = np.column_stack([np.asarray(summed[n]) for n in names])
-    return out[:FEATURES, :areas], out[:FEATURES, areas], out[FEATURES]
+    counts, sums = np.zeros((FEATURES, width)), np.zeros(areas + 2)
+    for block in blocks:
+        values = np.frombuffer(block["sums"], np.float64 if block["at"] < 0 else np.float32)
+        if block["at"] < 0:
+            sums = values.copy()
+        else:
+            counts[block["at"] : block["at"] + BLOCK] = values.reshape(-1, width)
+    return counts, sums
 
 
-def _calibrate(labelled: DataFrame, model: Model) -> Model:
+def _calibrate(features: DataFrame, model: Model) -> Model:
     """Slope and offset of each area's posterior, from scores of the sentences of labelled documents.
 
     A sentence counts for an area if its document has the label, against it otherwise.
     """
     areas = len(model.areas)
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((areas, 2, BINS))
-        for batch in _small(batches):
-            flat, of, doc = _arrays(batch)
-            given = _given(batch, areas).astype(int)
-            place = np.clip(_scores(flat, of, len(doc), sent.value.weights) / BIN_WIDTH, 0, BINS - 1).astype(int)
-            for a in range(areas):
-                np.add.at(seen[a], (given[doc, a], place[:, a]), 1)
+        for chunk in _chunks(batches, areas):
+            mine = chunk.labelled[chunk.doc]
+            if mine.any():
+                given = chunk.given[chunk.doc[mine]].astype(int)
+                place = np.clip(chunk.scores(sent.value.weights)[mine] / BIN_WIDTH, 0, BINS - 1).astype(int)
+                for a in range(areas):
+                    np.add.at(seen[a], (given[:, a], place[:, a]), 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(seen.size), pa.int32()), pa.array(seen.ravel())], names=["cell", "n"])
 
-    rows = labelled.mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = _gathered(features).mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     sent.unpersist()
     seen = np.zeros(areas * 2 * BINS)
     seen[rows["cell"]] = rows["n"]
@@ -283,53 +375,64 @@ def _logistic(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, fl
     return max(0.2, float(w[0])), float(w[1])
 
 
-def train(features: DataFrame, areas: list[str], rounds: int = 5) -> Model:
+def train(features: DataFrame, areas: list[str], rounds: int = 5, tolerance: float = 0.01) -> Model:
     """The model from all rows of a frame of ``featurise``.
 
     The counts of the labelled documents, scaled up to the corpus, are held
     against the counts of the whole corpus from the start: a word that is rare
     among labels but usual elsewhere (as all words of a rare language are)
-    tells nothing.
+    tells nothing. Expectation-maximisation ends after ``rounds``, or where the
+    weights move by less than ``tolerance`` of their sum.
     """
     n = len(areas)
-    counts, total, sums = _counts(features, n, None)
-    total *= (longer := sums[-1] / max(1.0, sums[-2]))  # as if all documents had the mean length
+    counts, sums = _counts(features, n, None)
+    counts, total, usual = counts[:, :n], counts[:, n], counts[:, n + 1]
+    longer = sums[-1] / max(1.0, sums[-2])  # as if all documents had the mean length
     scale = longer * sums[-2] / max(1.0, sums[:-2].sum())
-    model = Model(areas, weigh(np.minimum(counts * scale, total[:, None]), total), np.ones(n), np.full(n, -CLEAR))
+    first = total * longer
+    model = Model(areas, weigh(np.minimum(counts * scale, first[:, None]), first), np.ones(n), np.full(n, -CLEAR))
     for _ in range(rounds):
-        counts, total, _ = _counts(features, n, model)
-        model.weights = weigh(counts, total)
-    return _calibrate(features.where(F.col("labels").isNotNull()), model)
+        before = model.weights
+        counts, _ = _counts(features, n, model)
+        model.weights = weigh(counts, usual)
+        moved = np.abs(model.weights - before).sum() / max(1.0, np.abs(before).sum())
+        model.moves.append(float(moved))
+        if moved < tolerance:
+            break
+    return _calibrate(features, model)
 
 
-def areas_of(features: DataFrame, model: Model, least_share: float = 0.25) -> DataFrame:
-    """``ident``, ``subject``, ``share``, ``n_sentences``, ``n_about`` for each area of a document.
+def areas_of(features: DataFrame, model: Model, name: str, least_share: float = 0.25) -> DataFrame:
+    """The document's id as ``name``, ``subject``, ``share``, ``n_sentences``, ``n_about`` for each area of a document.
 
     A sentence is about the areas with a posterior of one half or more. ``share``
     is of the ``n_about`` sentences that are about any area. Documents about no
     area give no row.
     """
-    ident = features.columns[0]
+    ident = features.schema["ids"].dataType.elementType
     sent = features.sparkSession.sparkContext.broadcast(model)
     more = [T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("n_sentences", T.IntegerType()), T.StructField("n_about", T.IntegerType())]
+    schema = T.StructType([T.StructField(name, ident), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in _small(batches):
-            flat, of, doc = _arrays(batch)
-            about = model.posteriors(_scores(flat, of, len(doc), model.weights)) >= 0.5
-            n = np.bincount(doc, minlength=batch.num_rows)
-            any_area = np.bincount(doc, about.any(1), batch.num_rows)
-            per = np.zeros((batch.num_rows, len(model.areas)))
-            np.add.at(per, doc, about)
+        for chunk in _chunks(batches, len(model.areas)):
+            per, any_area, _ = _about(chunk, model)
             share = per / np.maximum(1, any_area)[:, None]
             row, area = np.nonzero((share >= least_share) & (per > 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array([model.areas[a] for a in area], pa.string()), pa.array(share[row, area]), pa.array(n[row], pa.int32()), pa.array(any_area[row].astype(np.int32))],
-                names=[ident, *[f.name for f in more]],
+                [chunk.ids.take(pa.array(row)), pa.array([model.areas[a] for a in area], pa.string()), pa.array(share[row, area]), pa.array(chunk.lengths[row], pa.int32()), pa.array(any_area[row].astype(np.int32))],
+                names=schema.names,
             )
 
-    return features.mapInArrow(run, T.StructType([features.schema[ident], *more]))
+    return features.mapInArrow(run, schema)
+
+
+def _about(chunk: _Chunk, model: Model) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sentences of each document about each area and about any, and the number about none."""
+    about = model.posteriors(chunk.scores(model.weights)) >= 0.5
+    per = np.stack([np.bincount(chunk.doc, about[:, a], chunk.docs) for a in range(len(model.areas))], 1)
+    return per, np.bincount(chunk.doc, about.any(1), chunk.docs), int((~about.any(1)).sum())
 
 
 def make_up(features: DataFrame, model: Model, least_share: float = 0.25) -> DataFrame:
@@ -345,15 +448,11 @@ def make_up(features: DataFrame, model: Model, least_share: float = 0.25) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = sent.value, np.zeros((2, n + 1), np.int64)
-        for batch in _small(batches):
-            flat, of, doc = _arrays(batch)
-            about = model.posteriors(_scores(flat, of, len(doc), model.weights)) >= 0.5
-            any_area = np.bincount(doc, about.any(1), batch.num_rows)
-            per = np.zeros((batch.num_rows, n))
-            np.add.at(per, doc, about)
+        for chunk in _chunks(batches, n):
+            per, any_area, none = _about(chunk, model)
             share = per / np.maximum(1, any_area)[:, None]
             total[0] += [*((share >= least_share) & (per > 0)).sum(0), (any_area == 0).sum()]
-            total[1] += [*per.sum(0).astype(np.int64), (~about.any(1)).sum()]
+            total[1] += [*per.sum(0).astype(np.int64), none]
         yield pa.RecordBatch.from_arrays([pa.array([*model.areas, None], pa.string()), pa.array(total[0]), pa.array(total[1])], names=names)
 
     names = ["subject", "n_documents", "n_sentences"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 
@@ -225,7 +226,7 @@ def test_held_out_accuracy(spark):
     given = spark.createDataFrame([*labels, (1, "unknown"), (None, "X"), (3, None)], "doc_id long, subject string")
     features = subjects.featurise(docs, "doc_id", "text", given, ["X", "Y", "Z"])
     found = defaultdict(set)
-    for r in subjects.areas_of(features, subjects.train(features, ["X", "Y", "Z"])).collect():
+    for r in subjects.areas_of(features, subjects.train(features, ["X", "Y", "Z"]), "doc_id").collect():
         found[r.doc_id].add(r.subject)
     assert np.mean([found[i] == truth[i] for i in range(120, 900)]) > 0.95
     assert not found[5000] and not found[5001] and not found[5002] and found[5003] == {"X"}
@@ -236,15 +237,25 @@ def test_subjects_without_documents_or_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, subject string")
     for frame in (docs, docs.limit(0)):
         features = subjects.featurise(frame, "doc_id", "text", labels, ["X", "Y"])
-        assert subjects.areas_of(features, subjects.train(features, ["X", "Y"])).count() == 0
+        assert subjects.areas_of(features, subjects.train(features, ["X", "Y"]), "doc_id").count() == 0
 
 
 def test_make_up_counts_minor_areas_and_none(spark):
-    sizes = [([0] * 9 + [1], 1), ([2, 2], 2), ([1], 3), ([], 4)]  # the feature of each sentence; 2 is about nothing
-    rows = [(i, f, [1] * len(f), None) for f, i in sizes]
-    features = spark.createDataFrame(rows, "doc_id long, features array<int>, sizes array<int>, labels array<int>")
+    texts = ["Alpha. " * 9 + "Beta.", "Gamma. Gamma.", "Beta.", "", None]  # gamma is about nothing
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    features = subjects.featurise(docs, "doc_id", "text", spark.createDataFrame([], "doc_id long, subject string"), ["X", "Y", "Z"])
     weights = np.zeros((subjects.FEATURES, 3), np.float32)
-    weights[0, 0] = weights[1, 1] = 5
+    for area, word in enumerate(["alpha", "beta"]):
+        weights[zlib.crc32(word.encode()) % subjects.FEATURES, area] = 5
     model = subjects.Model(["X", "Y", "Z"], weights, np.ones(3), np.full(3, -2.0))
     got = {r.subject: (r.n_documents, r.n_sentences) for r in subjects.make_up(features, model).collect()}
-    assert got == {"X": (1, 9), "Y": (1, 2), "Z": (0, 0), None: (2, 2)}
+    assert got == {"X": (1, 9), "Y": (1, 2), "Z": (0, 0), None: (3, 2)}
+
+
+def test_postings_match_a_plain_count():
+    texts = ["One two. Two one two!", None, "", "...", "Two\nthree four. " * 3, "Çà va"]
+    lengths, features, counts, postings = subjects._postings(texts, subjects._Codes())
+    assert lengths.tolist() == [2, 0, 0, 0, 3, 1]
+    want = {(zlib.crc32(w.encode()) % subjects.FEATURES, s) for s, words in enumerate(["one two", "two one two", *["two three four"] * 3, "çà va"]) for w in words.split()}
+    got = set(zip(np.repeat(features, counts).tolist(), postings.tolist(), strict=True))
+    assert want <= got and len(got) == len(want) + 1 + 2 + 3 * 2 + 1
