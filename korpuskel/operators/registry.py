@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpuskel.functions import text as X
 from korpuskel.session import cut
 
 
@@ -89,3 +90,20 @@ def new_rows(incoming: DataFrame, stored: DataFrame, key: list[str], order: list
     first = incoming.dropna(subset=key).groupBy(*key).agg(F.min(F.struct(*order, *[c for c in incoming.columns if c not in {*key, *order}])).alias("_row"))
     flat = first.select(*key, "_row.*").select(*incoming.columns)
     return flat.join(stored.select(*key).distinct(), key, "left_anti")
+
+
+def resolve_versions(specs: DataFrame, known: DataFrame) -> DataFrame:
+    """``spec`` and the ``version`` it stands for: itself for an exact version that is known, the highest known patch for a range like 1.2.x.
+
+    Pre-releases and builds match no range. Other specs, and ones that nothing
+    matches, get null: they aren't deterministic. ``specs``: spec; ``known``: version.
+    """
+    parts = X.version_parts(F.col("version"))
+    numbered = known.select("version", parts.alias("p")).where(F.col("p").isNotNull()).distinct()
+    ranges = numbered.groupBy(F.col("p.major").alias("major"), F.col("p.minor").alias("minor")).agg(F.max(F.struct("p.patch", "version"))["version"].alias("highest"))
+    named = specs.select("spec").distinct()
+    exact = numbered.select(F.col("version").alias("spec"), "version")
+    split = F.split("spec", r"\.")
+    wanted = named.where(F.col("spec").rlike(r"^\d+\.\d+\.x$")).select("spec", split[0].try_cast("bigint").alias("major"), split[1].try_cast("bigint").alias("minor"))
+    found = exact.unionByName(wanted.join(ranges, ["major", "minor"]).select("spec", F.col("highest").alias("version")))
+    return named.join(found, "spec", "left")

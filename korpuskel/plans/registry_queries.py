@@ -253,5 +253,5 @@ SELECT case_id, len(list_filter(coalesce(sets, []), lambda s: len(list_filter([{
     "filter_forms": "SELECT count(*) FILTER (language = 'en') AS n_equal, count(*) FILTER (list_contains(evidence_roles, 'MONITORING')) AS n_contains, count(*) FILTER (jurisdiction IN ('WORLD', 'TEST')) AS n_any, count(*) FILTER (lifecycle_status <> 'SUPERSEDED') AS n_must_not, count(*) FILTER (render_allowed) AS n_boolean, count(*) FILTER (len(applicability.population) = 0) AS n_empty, count(*) FILTER (language = 'xx') AS n_no_match FROM corpus_evidence",
     "wide_jurisdictions": f"SELECT case_id, array_to_string(CASE WHEN len(retrieval_filter.jurisdictions) > 0 THEN list_sort(list_distinct(list_append(retrieval_filter.jurisdictions, 'WORLD'))) ELSE [] END, ',') AS jurisdictions FROM ({_CASES})",
     "anchor_groups": "SELECT corpus_release_id, a.kind AS kind, count(*) AS n_anchors, count(a.pdf_page) AS n_pages FROM (SELECT corpus_release_id, unnest(anchors) AS a FROM corpus_evidence) GROUP BY ALL",
-    "text_change_prints": f"SELECT print_sha256, count(DISTINCT corpus_release_id) AS n_releases FROM (SELECT corpus_release_id, sha256(replace(lower({_PRESENT}), 'ß', 'ss')) AS print_sha256 FROM corpus_evidence WHERE content_search IS NOT NULL) GROUP BY 1 HAVING n_releases > 1",
+    "text_change_prints": f"SELECT print_sha256, count(DISTINCT corpus_release_id) AS n_releases FROM (SELECT corpus_release_id, sha256(replace(lower({_PRESENT}), 'ß', 'ss') || chr(31)) AS print_sha256 FROM corpus_evidence WHERE content_search IS NOT NULL) GROUP BY 1 HAVING n_releases > 1",
 }
