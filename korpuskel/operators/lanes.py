@@ -46,7 +46,7 @@ class Asked:
     starts: np.ndarray  # the queries of pair i are queries[starts[i] : starts[i + 1]]
     queries: np.ndarray
     filters: dict[str, list[list[str]]] = field(default_factory=dict)  # allowed values of each query, empty for all
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # unit length, or zero
+    vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # unit length, or zero
     found: np.ndarray = field(default_factory=lambda: np.zeros(0))  # documents that hold the pair
     docs: np.ndarray = field(default_factory=lambda: np.zeros(0))  # documents with tokens, by scope
     mean_n: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -72,7 +72,7 @@ class Features(dict):
 
 def hashed_dense(words: list[str], features: Features) -> np.ndarray:
     """Signed counts of words (1) and of pairs of adjacent words (0.5), not yet of unit length."""
-    out = np.zeros(features.dimension, np.float32)
+    out = np.zeros(features.dimension)
     for word in words:
         at, sign = features[f"u:{word}"]
         out[at] += sign
@@ -116,15 +116,16 @@ def ask(queries: DataFrame, scope: str, query: str, text: str, filters: tuple[st
         keys = of_scope[owner] * max(1, len(terms)) + np.array([at[t] for t in asked], np.int64)
         order = np.lexsort((owner, keys))
         pairs, counts = np.unique(keys, return_counts=True)
-        vectors = np.zeros((len(ids), 0), np.float32)
+        vectors = np.zeros((len(ids), 0))
         if dense:
             known = Features(VECTOR)
-            vectors = _unit(np.stack([hashed_dense(w, known) for w in part["words"].to_pylist()]).reshape(len(ids), VECTOR)) if ids else np.zeros((0, VECTOR), np.float32)
+            vectors = _unit(np.stack([hashed_dense(w, known) for w in part["words"].to_pylist()]).reshape(len(ids), VECTOR)) if ids else np.zeros((0, VECTOR))
         allowed = {f: part[f"f_{f}"].to_pylist() for f in filters}
         yield Asked(ids, scopes, of_scope, terms, pairs, np.concatenate([[0], np.cumsum(counts)]), owner[order], allowed, vectors, kind=queries.schema[query].dataType)
 
 
-_POSTINGS = T.StructType.fromDDL("_n int, _pairs array<int>, _tfs array<int>, _at array<int>, _values array<float>").fields
+_NUMBERS = T.ArrayType(T.IntegerType())
+_POSTINGS = [T.StructField(n, k) for n, k in (("_n", T.IntegerType()), ("_pairs", _NUMBERS), ("_tfs", _NUMBERS), ("_at", _NUMBERS), ("_values", T.ArrayType(T.FloatType())))]
 
 
 def postings(docs: DataFrame, scope: str, text: str, asked: Asked, dense: bool = False) -> DataFrame:
@@ -156,7 +157,7 @@ def postings(docs: DataFrame, scope: str, text: str, asked: Asked, dense: bool =
             where, what, vector_ends = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], np.zeros(batch.num_rows + 1, np.int32)
             if dense:
                 for i, (own, inside) in enumerate(zip(batch.column("_words").to_pylist(), place.tolist(), strict=True)):
-                    vector = hashed_dense(own, features) if own and inside >= 0 else np.zeros(0, np.float32)
+                    vector = hashed_dense(own, features) if own and inside >= 0 else np.zeros(0)
                     at = np.flatnonzero(vector)
                     where.append(at)
                     what.append(vector[at])
@@ -233,7 +234,7 @@ class _Scorer:
             doc = np.repeat(np.arange(n_docs), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))
             flat = np.bincount(doc * VECTOR + np.asarray(lists.flatten(), np.int64), np.asarray(batch.column("_values").flatten(), np.float64), n_docs * VECTOR)
             vectors = _unit(flat.reshape(n_docs, VECTOR))
-            scores = np.round(vectors @ asked.vectors.T.astype(np.float64), DIGITS) + 0.0
+            scores = np.round(vectors @ asked.vectors.T, DIGITS) + 0.0
             some = vectors.any(1)[:, None] & asked.vectors.any(1)[None, :]
             yield DENSE, np.where(some, scores, -np.inf)
 
