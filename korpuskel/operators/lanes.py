@@ -124,45 +124,69 @@ def ask(queries: DataFrame, scope: str, query: str, text: str, filters: tuple[st
         yield Asked(ids, scopes, of_scope, terms, pairs, np.concatenate([[0], np.cumsum(counts)]), owner[order], allowed, vectors, kind=queries.schema[query].dataType)
 
 
-_NUMBERS = T.ArrayType(T.IntegerType())
-_POSTINGS = [T.StructField(n, k) for n, k in (("_n", T.IntegerType()), ("_pairs", _NUMBERS), ("_tfs", _NUMBERS), ("_at", _NUMBERS), ("_values", T.ArrayType(T.FloatType())))]
+_NUMBERS, _SMALL = T.ArrayType(T.IntegerType()), T.ArrayType(T.ShortType())
+_POSTINGS = [T.StructField(n, k) for n, k in (("_n", T.IntegerType()), ("_pairs", _NUMBERS), ("_tfs", _NUMBERS), ("_at", _SMALL), ("_halves", _SMALL))]
+_UNACCENT = str.maketrans(X.ACCENTED, X.PLAIN)
+
+
+def _vectors(codes: np.ndarray, doc: np.ndarray, n_docs: int, vocabulary: list[str], features: Features) -> np.ndarray:
+    """``hashed_dense`` of many documents at once, in halves: their words as codes, document by document."""
+    hashed = lambda names: [np.array(x) for x in zip(*[features[n] for n in names], strict=True)] if names else [np.zeros(0, np.int64), np.zeros(0)]
+    at, sign = hashed([f"u:{w}" for w in vocabulary])
+    near = doc[1:] == doc[:-1]
+    pairs, of = np.unique((codes[:-1] * len(vocabulary) + codes[1:])[near], return_inverse=True)
+    pair_at, pair_sign = hashed([f"b:{vocabulary[p // len(vocabulary)]}\x1f{vocabulary[p % len(vocabulary)]}" for p in pairs.tolist()])
+    cell = np.concatenate([doc * VECTOR + at[codes], doc[1:][near] * VECTOR + pair_at[of]]).astype(np.int64)
+    halves = np.bincount(cell, np.concatenate([2 * sign[codes], pair_sign[of]]), n_docs * VECTOR).reshape(n_docs, VECTOR)
+    firsts = np.flatnonzero(np.diff(doc, prepend=-1))
+    for first in firsts[~halves[doc[firsts]].any(1)]:  # everything cancelled out
+        halves[doc[first], features[f"fallback:{vocabulary[codes[first]]}"][0]] = 2
+    return halves
 
 
 def postings(docs: DataFrame, scope: str, text: str, asked: Asked, dense: bool = False) -> DataFrame:
-    """``docs`` without the text, with the number of its tokens, its postings of asked pairs, and its hashed vector (positions and values)."""
+    """``docs`` without the text, with the number of its tokens, its postings of asked pairs, and its hashed vector (positions and values, in halves).
+
+    Words are made in the JVM; forms without accents, numbers and counts a batch
+    at a time, by the batch's vocabulary. Documents of scopes that nobody asks
+    about have their size only.
+    """
     kept = [c for c in docs.columns if c != text]
     sent = docs.sparkSession.sparkContext.broadcast(replace(asked, filters={}, vectors=np.zeros((0, 0))))
-    words = X.words(F.col(text)) if dense else F.array().cast("array<string>")
-    source = docs.select(*kept, X.tokens(F.col(text)).alias("_tokens"), words.alias("_words"))
+    source = docs.select(*kept, X.words(F.col(text)).alias("_words"))
     schema = T.StructType([*[docs.schema[c] for c in kept], *_POSTINGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sent.value
-        terms, scopes = pa.array(a.terms, pa.string()), pa.array(a.scopes, pa.string())
+        terms, scopes, n_terms, n_pairs = pa.array(a.terms, pa.string()), pa.array(a.scopes, pa.string()), max(1, len(a.terms)), max(1, len(a.pairs))
         features = Features(VECTOR)
         for batch in batches:
-            tokens = batch.column("_tokens")
-            n = np.asarray(pc.list_value_length(tokens).fill_null(0), np.int64)
-            of = np.repeat(np.arange(batch.num_rows), n)
-            number = np.asarray(pc.index_in(tokens.flatten(), terms).fill_null(-1), np.int64)
+            rows = batch.num_rows
+            doc = np.repeat(np.arange(rows), np.asarray(pc.list_value_length(batch.column("_words")).fill_null(0), np.int64))
+            encoded = pc.dictionary_encode(batch.column("_words").flatten())
+            codes, vocabulary = np.asarray(encoded.indices, np.int64), encoded.dictionary.to_pylist()
+            bare = [w.translate(_UNACCENT) for w in vocabulary]
+            differs = np.array([w != x for w, x in zip(vocabulary, bare, strict=True)], bool)
+            twice = differs[codes]
+            n = np.bincount(doc, minlength=rows) + np.bincount(doc[twice], minlength=rows)
+            numbers = [np.asarray(pc.index_in(pa.array(v, pa.string()), terms).fill_null(-1), np.int64) for v in (vocabulary, bare)]
+            of = np.concatenate([doc, doc[twice]])
+            number = np.concatenate([numbers[0][codes], numbers[1][codes[twice]]])
             place = np.asarray(pc.index_in(batch.column(scope), scopes).fill_null(-1), np.int64)
-            key = np.where((number >= 0) & (place[of] >= 0), place[of] * max(1, len(a.terms)) + number, -1)
-            pair = np.searchsorted(a.pairs, key)
-            pair[pair >= len(a.pairs)] = 0
+            key = np.where((number >= 0) & (place[of] >= 0), place[of] * n_terms + number, -1)
+            pair = np.minimum(np.searchsorted(a.pairs, key), n_pairs - 1)
             hit = (key >= 0) & (a.pairs[pair] == key) if len(a.pairs) else np.zeros(len(key), bool)
-            both, tf = np.unique(of[hit] * max(1, len(a.pairs)) + pair[hit], return_counts=True)
-            owner = both // max(1, len(a.pairs))
-            ends = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
-            columns = [pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(both % max(1, len(a.pairs)), pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))]
-            where, what, vector_ends = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], np.zeros(batch.num_rows + 1, np.int32)
-            if dense:
-                for i, (own, inside) in enumerate(zip(batch.column("_words").to_pylist(), place.tolist(), strict=True)):
-                    vector = hashed_dense(own, features) if own and inside >= 0 else np.zeros(0)
-                    at = np.flatnonzero(vector)
-                    where.append(at)
-                    what.append(vector[at])
-                    vector_ends[i + 1] = vector_ends[i] + len(at)
-            columns += [pa.ListArray.from_arrays(pa.array(vector_ends), pa.array(np.concatenate(v), k)) for v, k in ((where, pa.int32()), (what, pa.float32()))]
+            both, tf = np.unique(of[hit] * n_pairs + pair[hit], return_counts=True)
+            ends = pa.array(np.searchsorted(both // n_pairs, np.arange(rows + 1)), pa.int32())
+            columns = [pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(both % n_pairs, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))]
+            owner, at, halves = np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16)
+            if dense and len(codes):
+                mine = place[doc] >= 0
+                vectors = _vectors(codes[mine], doc[mine], rows, vocabulary, features)
+                owner, at = np.nonzero(vectors)
+                halves = vectors[owner, at]
+            vector_ends = pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32())
+            columns += [pa.ListArray.from_arrays(vector_ends, pa.array(v.astype(np.int16))) for v in (at, np.clip(halves, -32768, 32767))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -232,7 +256,7 @@ class _Scorer:
         if DENSE in self.lanes:
             lists = batch.column("_at")
             doc = np.repeat(np.arange(n_docs), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))
-            flat = np.bincount(doc * VECTOR + np.asarray(lists.flatten(), np.int64), np.asarray(batch.column("_values").flatten(), np.float64), n_docs * VECTOR)
+            flat = np.bincount(doc * VECTOR + np.asarray(lists.flatten(), np.int64), np.asarray(batch.column("_halves").flatten(), np.float64), n_docs * VECTOR)
             vectors = _unit(flat.reshape(n_docs, VECTOR))
             scores = np.round(vectors @ asked.vectors.T, DIGITS) + 0.0
             some = vectors.any(1)[:, None] & asked.vectors.any(1)[None, :]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpuskel.functions import text as X
@@ -107,3 +109,36 @@ def resolve_versions(specs: DataFrame, known: DataFrame) -> DataFrame:
     wanted = named.where(F.col("spec").rlike(r"^\d+\.\d+\.x$")).select("spec", split[0].try_cast("bigint").alias("major"), split[1].try_cast("bigint").alias("minor"))
     found = exact.unionByName(wanted.join(ranges, ["major", "minor"]).select("spec", F.col("highest").alias("version")))
     return named.join(found, "spec", "left")
+
+
+def keyed_hash(key: str, value: Column) -> Column:
+    """HMAC with SHA-256 of a text under a key, as hex; null for null."""
+    raw = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    pads = [F.lit(bytes(b ^ pad for b in raw.ljust(64, b"\0"))) for pad in (0x36, 0x5C)]
+    inner = F.sha2(F.concat(pads[0], F.encode(value, "UTF-8")), 256)
+    return F.sha2(F.concat(pads[1], F.unhex(inner)), 256)
+
+
+def keyed_halves(rows: DataFrame, ident: str, key: str) -> DataFrame:
+    """(ident, ``half``): FIRST for the smaller half of the keyed hashes (rounded down), SECOND for the rest; null ids are left out.
+
+    The middle is found by counts: over 65,536 buckets of the hash, and then over
+    the rows of the one bucket that holds it, so no task ranks all rows.
+    """
+    hashed = rows.where(F.col(ident).isNotNull()).select(ident, keyed_hash(key, F.col(ident).cast("string")).alias("_k")).withColumn("_b", F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"))
+    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_b"))
+    whole = F.sum("_n").over(Window.partitionBy())
+    placed = counts.select("_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.floor(whole / 2).alias("_half"))
+    joined = hashed.join(placed, "_b")
+    inside = joined.where((F.col("_before") < F.col("_half")) & (F.col("_upto") > F.col("_half")))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_k", ident))
+    split = inside.select(ident, F.when(F.col("_before") + rank <= F.col("_half"), "FIRST").otherwise("SECOND").alias("half"))
+    clear = joined.where((F.col("_before") >= F.col("_half")) | (F.col("_upto") <= F.col("_half")))
+    return clear.select(ident, F.when(F.col("_upto") <= F.col("_half"), "FIRST").otherwise("SECOND").alias("half")).unionByName(split)
+
+
+def all_pairs(spark: SparkSession, left: str, lefts: list[str], right: str, rights: list[str]) -> DataFrame:
+    """Every pair of two short lists of names, as a frame to fill with zeros."""
+    one = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in lefts])).alias(left))
+    return one.withColumn(right, F.explode(F.array(*[F.lit(x) for x in rights])))

@@ -23,6 +23,7 @@ FILTERS = {"jurisdictions": "jurisdiction", "languages": "language", "publisher_
 REQUIRED_ROLES = [fusion.PRIMARY, "APPLICABILITY"]
 SERVABLE = ["EFFECTIVE"]  # states in which evidence may be served. Fixed value.
 RELEASE, EVIDENCE = "corpus_release_id", "evidence_id"
+MOST_KEYS = 200_000  # of about a hundred bytes, that are broadcast
 
 
 def _evidence(spark: SparkSession, sf_dir: str, **values: Column) -> DataFrame:
@@ -120,8 +121,12 @@ def served_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counted(spark: SparkSession, sf_dir: str, keys: DataFrame, rows: DataFrame, values: list[str]) -> DataFrame:
-    """The counting evidence of the given (release, id), with its values; only those rows leave the scan."""
-    mine = rows.join(keys.select(RELEASE, EVIDENCE).distinct(), [RELEASE, EVIDENCE], "left_semi")
+    """The counting evidence of the given (release, id), with its values; only those rows leave the scan.
+
+    The keys are those of a query set's results; they are broadcast where they are counted to be few.
+    """
+    named = cut(keys.select(RELEASE, EVIDENCE).distinct())
+    mine = rows.join(F.broadcast(named) if named.count() <= MOST_KEYS else named, [RELEASE, EVIDENCE], "left_semi")
     return latest_rows(mine, {RELEASE: F.col(RELEASE), EVIDENCE: F.col(EVIDENCE)}, F.col("delivered_at"), {v: F.col(v) for v in values})
 
 
@@ -266,10 +271,10 @@ def reranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _selected(spark: SparkSession, sf_dir: str, fused: DataFrame, cases: DataFrame) -> DataFrame:
     """The best distinct passages along the fused list, by the fingerprint of what a reader sees."""
-    rows = presentation.with_rows(_evidence(spark, sf_dir, content_exact=F.col("content_exact"), anchors=F.col("anchors")), "content_exact", "anchors")
-    prints = rows.select(RELEASE, EVIDENCE, "delivered_at", presentation.print_of(F.col("content_exact"), F.col("cells"), F.col("anchor")).alias("print"))
-    named = _with_release(fused.select("case_id", EVIDENCE, "rank"), cases)
-    held = _counted(spark, sf_dir, named, prints, ["print"])
+    rows = _evidence(spark, sf_dir, content_exact=F.col("content_exact"), anchors=F.col("anchors"))
+    named = cut(_with_release(fused.select("case_id", EVIDENCE, "rank"), cases))
+    held = presentation.with_rows(_counted(spark, sf_dir, named, rows, ["content_exact", "anchors"]), "content_exact", "anchors")
+    held = held.select(RELEASE, EVIDENCE, presentation.print_of(F.col("content_exact"), F.col("cells"), F.col("anchor")).alias("print"))
     own = F.coalesce("print", F.concat(F.lit("without text "), EVIDENCE))
     return fusion.distinct_best(named.join(held, [RELEASE, EVIDENCE]).withColumn("print", own), "case_id", EVIDENCE, "print", DEPTH)
 
