@@ -18,20 +18,37 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return sides.select(*keys, F.when(F.col("_l") == 1, "LEFT").otherwise("RIGHT").alias("side"))
 
 
-def in_force(rows: DataFrame, moments: DataFrame, start: str, end: str, at: str) -> DataFrame:
-    """Pairs of rows and moments with ``start`` <= ``at`` <= ``end``; a null bound is open.
+def _carried(rows: DataFrame, group: list[str], bucket: str, order: list[str], values: list[str], known: str | None) -> DataFrame:
+    """Per group and bucket what the buckets before it leave: rows, values of the last row, last known value of ``known``.
 
-    ``moments`` is a small dimension (broadcast by its size): a range join that
-    Catalyst runs as a nested loop over the few moments.
+    A small row per bucket; only these are put in order over a whole group.
     """
-    inside = F.coalesce(F.col(start) <= F.col(at), F.lit(True)) & F.coalesce(F.col(end) >= F.col(at), F.lit(True))
-    return rows.join(moments, inside)
-
-
-def latest_before(rows: DataFrame, group: list[str], order: list[str], *values: str) -> DataFrame:
-    """Each row with the ``values`` of the row before it in its group as ``previous_...``; null for the first."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumns({f"previous_{v}": F.lag(v).over(w) for v in values})
+    place = F.struct(*order)
+    parts = rows.groupBy(*group, bucket).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max_by(F.struct(v), place).alias(f"_last_{v}") for v in values],
+        *([F.max_by(known, F.when(F.col(known).isNotNull(), place)).alias("_known")] if known else []),
+    )
+    over = Window.partitionBy(*group).orderBy(bucket)
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *[F.lag(f"_last_{v}").over(over)[v].alias(f"_carried_{v}") for v in values]]
+    if known:
+        carried.append(F.last("_known", ignorenulls=True).over(before).alias("_carried_known"))
+    return parts.select(*group, bucket, *carried)
+
+
+def latest_before(rows: DataFrame, group: list[str], order: list[str], bucket: str, *values: str) -> DataFrame:
+    """Each row with the ``values`` of the row before it in its group as ``previous_...`` (null for the first) and its ``sequence_no``.
+
+    ``bucket`` is a coarse form of the first column of ``order``, as its day: rows
+    are put in order within (group, bucket) only, and what earlier buckets leave
+    is carried over, so a group with a third of all rows is never in one task.
+    """
+    inside = Window.partitionBy(*group, bucket).orderBy(*order)
+    joined = rows.join(_carried(rows, group, bucket, order, list(values), None), [*group, bucket])
+    number = F.row_number().over(inside)
+    previous = {f"previous_{v}": F.when(number == 1, F.col(f"_carried_{v}")).otherwise(F.lag(v).over(inside)) for v in values}
+    return joined.withColumns(previous | {"sequence_no": F.col("_before") + number}).drop("_before", *[f"_carried_{v}" for v in values])
 
 
 def neighbourhood(anchors: DataFrame, rows: DataFrame, scope: str, position: str, radius: int) -> DataFrame:
@@ -50,10 +67,11 @@ def neighbourhood(anchors: DataFrame, rows: DataFrame, scope: str, position: str
     return joined.where(F.abs(F.col(position) - place) <= radius).drop("_b")
 
 
-def fill_forward(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """The last known ``value`` at or before each row of its group."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
+def fill_forward(rows: DataFrame, group: list[str], order: list[str], bucket: str, value: str, out: str) -> DataFrame:
+    """The last known ``value`` at or before each row of its group; ``bucket`` as in ``latest_before``."""
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(_carried(rows, group, bucket, order, [], value), [*group, bucket])
+    return joined.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried_known"))).drop("_before", "_carried_known")
 
 
 def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -78,7 +96,9 @@ def set_digest(rows: DataFrame, group: list[str], ident: Column, content: Column
     """A digest of each group's set of (id, content), whatever the order: ``n_members``, ``digest``.
 
     Members are hashed, put in order within 2^bits hash buckets and digested per
-    bucket, then the bucket digests in order: no task holds a group.
+    bucket, then the bucket digests in order: no task holds a group. ``bits`` is
+    part of the digest: 12 serve groups of about a billion members, which are then
+    250,000 to a bucket.
     """
     member = F.sha2(F.concat_ws("|", ident, content), 256)
     placed = rows.select(*group, member.alias("m")).distinct().withColumn("bucket", F.conv(F.substring("m", 1, 8), 16, 10).cast("bigint") % F.lit(1 << bits))
@@ -142,3 +162,52 @@ def all_pairs(spark: SparkSession, left: str, lefts: list[str], right: str, righ
     """Every pair of two short lists of names, as a frame to fill with zeros."""
     one = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in lefts])).alias(left))
     return one.withColumn(right, F.explode(F.array(*[F.lit(x) for x in rights])))
+
+
+def active_at(rows: DataFrame, key: list[str], at: Column, expires: str, order: list[Column], values: list[str]) -> DataFrame:
+    """Per key the latest row (by ``order``) that hasn't expired at a time; a null expiry never comes. One aggregation."""
+    live = rows.where(F.col(expires).isNull() | (F.col(expires) > at))
+    best = live.dropna(subset=key).groupBy(*key).agg(F.max(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(v) for v in values])).alias("_r"))
+    return best.select(*key, *[F.col(f"_r.{v}").alias(v) for v in values])
+
+
+def accounted(expected: DataFrame, included: DataFrame, excepted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Per ``by`` whether included and excepted ids make up the expected ones without overlap: ``n_expected``, ``n_missing``, ``n_extra``, ``n_both``, ``is_sound``.
+
+    One aggregation over the three tagged together; null keys are left out.
+    """
+    sides = [df.select(*keys, *[F.lit(int(i == j)).alias(f"_s{j}") for j in range(3)]) for i, df in enumerate((expected, included, excepted))]
+    one = sides[0].unionByName(sides[1]).unionByName(sides[2]).dropna(subset=keys).groupBy(*keys).agg(*[F.max(f"_s{j}").alias(f"_s{j}") for j in range(3)])
+    listed, inside, out = (F.col(f"_s{j}") == 1 for j in range(3))
+    sums = one.groupBy(*by).agg(F.count_if(listed).alias("n_expected"), F.count_if(listed & ~inside & ~out).alias("n_missing"), F.count_if(~listed).alias("n_extra"), F.count_if(inside & out).alias("n_both"))
+    return sums.withColumn("is_sound", (F.col("n_missing") == 0) & (F.col("n_extra") == 0) & (F.col("n_both") == 0))
+
+
+def register_conflicts(rows: DataFrame, digest: str, *fields: str) -> DataFrame:
+    """Digests that were registered with differing metadata: how many forms each field has; nulls count as a form."""
+    form = lambda f: F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit("\0null")))
+    forms = rows.where(F.col(digest).isNotNull()).groupBy(digest).agg(*[form(f).alias(f"n_{f}") for f in fields])
+    return forms.where(F.greatest(F.lit(0), *[F.col(f"n_{f}") for f in fields]) > 1)
+
+
+def grounded(claims: DataFrame, retrieved: DataFrame, query: str, claim: str, cited: str, ident: str) -> DataFrame:
+    """(query, claim, ``n_cited``, ``is_supported``): a claim stands if it cites something and all of it was retrieved for its query.
+
+    ``claims``: query, claim, array of cited ids (null is empty, nulls in it and
+    repeats don't count). ``retrieved``: query, ident; rows may repeat.
+    """
+    ids = F.array_distinct(F.array_compact(F.coalesce(F.col(cited), F.array().cast("array<string>"))))
+    each = claims.select(query, claim, F.explode_outer(ids).alias(ident))
+    have = retrieved.select(query, ident).distinct().withColumn("_have", F.lit(1))
+    both = each.join(have, [query, ident], "left")
+    return both.groupBy(query, claim).agg(F.count(ident).alias("n_cited"), (F.count("_have") == F.count(F.lit(1))).alias("is_supported"))
+
+
+def with_cache(pairs: DataFrame, cache: DataFrame, key: Column, score: Column) -> DataFrame:
+    """``pairs`` with ``cache_key``, ``score`` and ``is_cached``: scores that the cache has, and ``score`` for the others.
+
+    ``cache``: cache_key, score; repeated keys take the largest score.
+    """
+    known = cache.groupBy("cache_key").agg(F.max("score").alias("_s"))
+    joined = pairs.withColumn("cache_key", key).join(known, "cache_key", "left")
+    return joined.withColumn("is_cached", F.col("_s").isNotNull()).withColumn("score", F.coalesce("_s", score)).drop("_s")

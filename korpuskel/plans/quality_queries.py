@@ -233,7 +233,7 @@ def runtime_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of each case: numerals that no gold evidence holds, wide citation (four or more), and how many in all; only cases with any."""
-    missing = text_queries.tidy_numeral_screen(spark, sf_dir).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_numerals"))
+    missing = text_queries.numeral_screen(spark, sf_dir).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_numerals"))
     cited = _case_rows(spark, sf_dir).select("case_id", F.size(F.array_distinct(F.array_compact(F.transform("gold", tidy)))).alias("n_cited"))
     both = cited.join(missing, "case_id", "left").select("case_id", F.coalesce("n_numerals", F.lit(0)).alias("n_numerals"), F.coalesce(F.col("n_cited") >= 4, F.lit(False)).alias("is_wide"))
     return both.withColumn("n_flags", (F.col("n_numerals") > 0).cast("int") + F.col("is_wide").cast("int")).where("n_flags > 0")
@@ -302,7 +302,7 @@ _IPAD, _OPAD = ("".join(f"{b ^ pad:02x}" for b in PARTITION_KEY.encode().ljust(6
 _LOW, _HIGH = S.wilson("n_release", "n_evidence")
 _C_LOW, _C_HIGH = (x.replace(S.Z, "1.959963985") for x in S.wilson("n_events", "n_answered"))
 _RAW_LOW, _RAW_HIGH = (x.removeprefix("round(").removesuffix(", 6)") for x in (_C_LOW, _C_HIGH))
-_SCREEN = text_queries.SQL["tidy_numeral_screen"]
+_SCREEN = text_queries.SQL["numeral_screen"]
 _PRECISION = "CASE WHEN coalesce(len(a.bbox) = 4, false) OR (a.char_start IS NOT NULL AND a.char_end IS NOT NULL) THEN 1 WHEN a.table_id IS NOT NULL AND a.row_index IS NOT NULL AND a.column_index IS NOT NULL THEN 2 WHEN a.pdf_page IS NOT NULL THEN 3 ELSE 4 END"
 _TOPIC = {
     "contraindication": f"list_contains(r, 'EXCEPTION_OR_CONTRAINDICATION') OR regexp_matches(t, {S.q(X.TOPICS['negation'])})",

@@ -254,18 +254,7 @@ def duplicate_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeral_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a case's question that none of its gold evidence holds; ids as they are written, any delivery."""
-    cases = read_table(spark, sf_dir, "benchmark_cases").select("case_id", "corpus_release_id", "question", F.col("gold_evidence.evidence_id").alias("ids")).where(F.col("question").isNotNull())
-    asked = cases.select("case_id", "corpus_release_id", "ids", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(X.NUMERAL), F.lit(0)))).alias("numeral"))
-    cited = asked.select("case_id", "corpus_release_id", "numeral", F.explode_outer("ids").alias("evidence_id")).distinct()
-    held = read_table(spark, sf_dir, "corpus_evidence").select("corpus_release_id", "evidence_id", F.regexp_extract_all("content_exact", F.lit(X.NUMERAL), F.lit(0)).alias("held"))
-    seen = cited.join(held, ["corpus_release_id", "evidence_id"], "left")
-    found = F.max(F.coalesce(F.array_contains("held", F.col("numeral")), F.lit(False)))
-    return seen.groupBy("case_id", "numeral").agg(found.alias("found")).where(~F.col("found")).select("case_id", "numeral")
-
-
-def tidy_numeral_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As numeral_screen, of the counting rows, with ids compared without letter case and outer blanks."""
+    """Numbers of a case's question that none of its gold evidence holds; counting rows, ids compared without letter case and outer blanks."""
     release = tidy("corpus_release_id")
     cases = latest_rows(read_table(spark, sf_dir, "benchmark_cases"), {"case_id": tidy("case_id")}, F.col("created_at"), {"corpus_release_id": release, "question": F.col("question"), "ids": F.transform("gold_evidence.evidence_id", tidy)})
     asked = cases.where(F.col("question").isNotNull()).select("case_id", "corpus_release_id", "ids", F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(X.NUMERAL), F.lit(0)))).alias("numeral"))
@@ -296,7 +285,7 @@ def row_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTED = [
     term_frequency, document_frequency, length_statistics, hashed_vector, search_views, duplicate_groups, duplicate_survivors, role_patterns, topic_patterns, grades, scope_labels,
     identifier_spans, identifiers_removed, document_identifiers, exact_term_frequency, token_sets, hashed_dense, query_fragments, question_terms, marked_questions, code_labels,
-    json_depths, point_ids, resolved_versions, cell_labels, placements, stated_facts, vector_digests, numeral_screen, tidy_numeral_screen, spreadsheet_cells, row_prints,
+    json_depths, point_ids, resolved_versions, cell_labels, placements, stated_facts, vector_digests, numeral_screen, spreadsheet_cells, row_prints,
 ]
 QUERIES = {f.__name__: f for f in _LISTED}
 
@@ -404,14 +393,10 @@ FROM r WHERE age IS NOT NULL OR coalesce(conditions, '') <> '' OR egfr IS NOT NU
     "spreadsheet_cells": f"WITH {_CELLS} SELECT DISTINCT corpus_release_id, evidence_id, col, CAST(n AS INTEGER) AS col_no, CAST(row_no AS INTEGER) AS row_no, value FROM cells",
     "row_prints": f"""WITH {_CELLS}, p AS (SELECT corpus_release_id, evidence_id, content_exact, sha256(string_agg(col || '=' || {_FOLD.format(_PRESENT.format('value'))} || chr(31), '' ORDER BY cell)) AS row_sha256 FROM cells GROUP BY ALL)
 SELECT row_sha256, count(DISTINCT evidence_id) AS n_evidence FROM p GROUP BY row_sha256""",
-    "tidy_numeral_screen": f"""WITH cases AS (SELECT nullif(upper(trim(case_id, E' \\t\\n')), '') AS c, nullif(upper(trim(corpus_release_id, E' \\t\\n')), '') AS r, question, [nullif(upper(trim(g.evidence_id, E' \\t\\n')), '') FOR g IN gold_evidence] AS ids FROM benchmark_cases QUALIFY row_number() OVER (PARTITION BY c ORDER BY created_at DESC) = 1),
+    "numeral_screen": f"""WITH cases AS (SELECT nullif(upper(trim(case_id, E' \\t\\n')), '') AS c, nullif(upper(trim(corpus_release_id, E' \\t\\n')), '') AS r, question, [nullif(upper(trim(g.evidence_id, E' \\t\\n')), '') FOR g IN gold_evidence] AS ids FROM benchmark_cases QUALIFY row_number() OVER (PARTITION BY c ORDER BY created_at DESC) = 1),
 ev AS (SELECT nullif(upper(trim(corpus_release_id, E' \\t\\n')), '') AS r, nullif(upper(trim(evidence_id, E' \\t\\n')), '') AS id, content_exact FROM corpus_evidence QUALIFY row_number() OVER (PARTITION BY r, id ORDER BY delivered_at DESC) = 1),
 asked AS (SELECT c, r, ids, unnest(list_distinct(regexp_extract_all(question, '{X.NUMERAL}'))) AS numeral FROM cases WHERE c IS NOT NULL),
 cited AS (SELECT c, r, numeral, unnest(CASE WHEN len(ids) > 0 THEN ids ELSE [NULL] END) AS id FROM asked)
 SELECT c AS case_id, numeral FROM cited LEFT JOIN ev USING (r, id)
 GROUP BY c, numeral HAVING NOT bool_or(coalesce(list_contains(regexp_extract_all(content_exact, '{X.NUMERAL}'), numeral), false))""",
-    "numeral_screen": f"""WITH asked AS (SELECT DISTINCT case_id, corpus_release_id, [g.evidence_id FOR g IN gold_evidence] AS ids, unnest(list_distinct(regexp_extract_all(question, '{X.NUMERAL}'))) AS numeral FROM benchmark_cases),
-cited AS (SELECT case_id, corpus_release_id, numeral, unnest(CASE WHEN len(ids) > 0 THEN ids ELSE [NULL] END) AS evidence_id FROM asked)
-SELECT case_id, numeral FROM cited c LEFT JOIN corpus_evidence e USING (corpus_release_id, evidence_id)
-GROUP BY case_id, numeral HAVING NOT bool_or(coalesce(list_contains(regexp_extract_all(content_exact, '{X.NUMERAL}'), numeral), false))""",
 }
