@@ -420,7 +420,7 @@ s AS (SELECT r AS corpus_release_id, count(*) FILTER (listed) AS n_expected, cou
     "register_conflicts": f"SELECT source_artifact_sha256, {', '.join(f'count(DISTINCT coalesce({_t(f)}, chr(1))) AS n_{f}' for f in ('source_id', 'publisher_id', 'source_version_id'))} FROM corpus_evidence WHERE source_artifact_sha256 IS NOT NULL GROUP BY 1 HAVING n_source_id > 1 OR n_publisher_id > 1 OR n_source_version_id > 1",
     "artifact_reuse": f"WITH r AS (SELECT {_t('corpus_release_id')} AS rel, row_number() OVER (ORDER BY cutoff_at, corpus_release_id) AS n FROM corpus_releases), e AS (SELECT x.rel, n, id, source_artifact_sha256 AS sha FROM ({_EV}) x JOIN r USING (rel) WHERE id IS NOT NULL) SELECT a.rel AS corpus_release_id, CASE WHEN b.id IS NULL THEN 'NEW' WHEN a.sha IS NOT DISTINCT FROM b.sha THEN 'REUSED' ELSE 'DRIFTED' END AS state, count(*) AS n_evidence FROM e a LEFT JOIN e b ON b.id = a.id AND b.n = a.n - 1 GROUP BY ALL",
     "artifact_sources": f"WITH v AS (SELECT DISTINCT {_t('source_version_id')} AS id FROM source_versions) SELECT id AS source_version_id, CASE WHEN id IN (SELECT {_t('source_version_id')} FROM corpus_evidence WHERE source_artifact_sha256 IS NOT NULL AND {_t('source_version_id')} IS NOT NULL) THEN 'EVIDENCE' WHEN id IN (SELECT {_t('source_version_id')} FROM release_manifest WHERE artifact_sha256 IS NOT NULL AND {_t('source_version_id')} IS NOT NULL) THEN 'MANIFEST' ELSE 'NONE' END AS found_in FROM v WHERE id IS NOT NULL",
-    "review_states": f"WITH s AS (SELECT {_t('case_id')} AS c, {_t('adjudicator_identity')} AS who, {_t('decided_case.strata[' + chr(39) + 'clinical_risk' + chr(39) + ']')} AS level, coalesce(independent_of_candidate_team, false) AS free, decided_at AS at FROM review_decisions WHERE {_t('case_id')} IS NOT NULL AND {_t('adjudicator_identity')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_t('case_id')}, {_t('adjudicator_identity')} ORDER BY decided_at DESC) = 1), g AS (SELECT c, count(*) AS n, count(DISTINCT level) AS k, min(level) AS one, (list(level ORDER BY at DESC, who DESC) FILTER (free))[1] AS resolved FROM s WHERE level IS NOT NULL GROUP BY c) SELECT c AS case_id, n AS n_reviews, k AS n_levels, CASE WHEN k = 1 THEN 'AGREED' WHEN resolved IS NOT NULL THEN 'RESOLVED' ELSE 'OPEN' END AS state, CASE WHEN k = 1 THEN one ELSE resolved END AS level FROM g",
+    "review_states": f"WITH s AS (SELECT {_t('case_id')} AS c, {_t('adjudicator_identity')} AS who, {_t('decided_case.strata[' + chr(39) + 'clinical_risk' + chr(39) + ']')} AS level, coalesce(independent_of_candidate_team, false) AS free, decided_at AS t FROM review_decisions WHERE {_t('case_id')} IS NOT NULL AND {_t('adjudicator_identity')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_t('case_id')}, {_t('adjudicator_identity')} ORDER BY decided_at DESC) = 1), g AS (SELECT c, count(*) AS n, count(DISTINCT level) AS k, min(level) AS one, (list(level ORDER BY t DESC, who DESC) FILTER (free))[1] AS resolved FROM s WHERE level IS NOT NULL GROUP BY c) SELECT c AS case_id, n AS n_reviews, k AS n_levels, CASE WHEN k = 1 THEN 'AGREED' WHEN resolved IS NOT NULL THEN 'RESOLVED' ELSE 'OPEN' END AS state, CASE WHEN k = 1 THEN one ELSE resolved END AS level FROM g",
     "document_languages": f"SELECT coalesce({_t('v.language')}, {_t('d.lang')}) AS language, CASE WHEN {_t('v.language')} IS NOT NULL THEN 'VERSION' WHEN {_t('d.lang')} IS NOT NULL THEN 'DOCUMENT' ELSE 'NONE' END AS origin, count(*) AS n_documents FROM documents d LEFT JOIN (SELECT DISTINCT ON ({_t('source_version_id')}) * FROM source_versions) v ON {_t('v.source_version_id')} = {_t('d.source_version_id')} GROUP BY ALL",
     "grounded_cases": f"WITH c AS (SELECT case_id, {_t('corpus_release_id')} AS rel, list_distinct([{_t('g.evidence_id')} FOR g IN coalesce(gold_evidence, []) IF {_t('g.evidence_id')} IS NOT NULL]) AS ids FROM ({_CASES}) WHERE case_id IS NOT NULL), e AS (SELECT DISTINCT {_t('corpus_release_id')} AS rel, {_t('evidence_id')} AS id FROM corpus_evidence), x AS (SELECT case_id, rel, unnest(ids) AS id FROM c), k AS (SELECT case_id, count(*) AS have FROM x JOIN e USING (rel, id) GROUP BY case_id) SELECT c.case_id, len(ids) AS n_cited, len(ids) > 0 AND coalesce(have, 0) = len(ids) AS is_supported FROM c LEFT JOIN k USING (case_id) WHERE rel IS NOT NULL",
     "attempt_numbers": "SELECT user_id, day, count(*) + 1 AS next_attempt, [s FOR s IN ['view', 'click', 'cart', 'purchase'] IF NOT list_contains(list(event_type), s)][1] AS resume_at FROM (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type FROM events) GROUP BY user_id, day",
