@@ -96,12 +96,16 @@ def pack_items(items: DataFrame, ident: str, size: str, capacity: int, total_row
     ``sizes``, ``used`` and ``unused``. Repeated rows are packed each; items of
     size 0 or null need no room and are in no container.
 
-    Items go by a hash of row and identifier into shards of about ``per_shard``,
-    packed independently, each losing at most about one container's room.
+    Items go by a hash of identifier, size and repeat number into shards of about
+    ``per_shard``, packed independently, each losing at most about one container's
+    room. Repeats are counted before they are numbered, so an identifier that a
+    third of the rows share is in no task as a whole.
     """
     shards = max(1, -(-total_rows // per_shard))
-    shard = F.pmod(F.xxhash64(ident), F.lit(shards)).cast("int")
-    kept = items.where(F.col(size) > 0).select(shard.alias("_shard"), F.col(ident).alias("_id"), F.col(size).cast("long").alias("_size"))
+    counted = items.where(F.col(size) > 0).groupBy(F.col(ident).alias("_id"), F.col(size).cast("long").alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.select("_id", "_size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_repeat"))
+    shard = F.when(F.col("_repeat") == 1, F.pmod(F.xxhash64("_id"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("_id", "_size", "_repeat"), F.lit(shards))).cast("int")
+    kept = numbered.select(shard.alias("_shard"), "_id", "_size")
     ident_type = kept.schema["_id"].dataType
     fields = [("container_id", T.LongType()), ("ids", T.ArrayType(ident_type)), ("starts", T.ArrayType(T.LongType())), ("sizes", T.ArrayType(T.LongType())), ("used", T.LongType()), ("unused", T.LongType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
