@@ -76,4 +76,4 @@ def expansions(question: Column, conflict_aware: bool = True) -> Column:
     first = F.aggregate(keyed, none, lambda acc, x: F.when(F.exists(acc, lambda y: X.fold_case(y["text"]) == X.fold_case(x["text"])), acc).otherwise(F.array_append(acc, x)))
     lane = lambda k, name: F.transform(F.slice(F.filter(first, lambda x: x["kind"] == k), 1, MOST_LANES), lambda x, i: F.struct(F.concat(F.lit(f"{name}-"), (i + 1).cast("string")).alias("lane"), x["kind"].alias("kind"), x["origin"].alias("origin"), x["text"].alias("text")))
     out = F.concat(lane(TERMINOLOGY, "exact-terminology"), lane(SAFETY, "safety-query"))
-    return F.when(_trim(question) != "", out).otherwise(F.slice(out, 1, 0))
+    return F.coalesce(F.when(_trim(question) != "", out), F.array().cast("array<struct<lane:string,kind:string,origin:string,text:string>>"))

@@ -152,3 +152,22 @@ def differences(expected: DataFrame, stored: DataFrame, ident: str, vector: str)
         )
     )
     return sides.select(ident, F.explode(kinds).alias("difference"))
+
+
+def sparse_products(docs: DataFrame, queries: DataFrame, scope: str, ident: str, query: str, rarity: bool = True) -> DataFrame:
+    """(query, ident, score) of stored sparse vectors against sparse queries of their scope: the sum of the products of shared positions.
+
+    Both sides: ``indices`` and ``values`` arrays. With ``rarity`` each product is
+    weighed by ln(1 + (N - df + 0.5) / (df + 0.5)) over the scope's documents.
+    Documents that share no position with a query give no row. Only postings of
+    queried positions are shuffled; a pair comes out of each scope once.
+    """
+    pairs = F.explode(F.arrays_zip("indices", "values"))
+    asked = queries.select(scope, query, pairs.alias("_p")).select(scope, query, F.col("_p.indices").alias("_t"), F.col("_p.values").cast("double").alias("_q"))
+    held = docs.select(scope, ident, pairs.alias("_p")).select(scope, ident, F.col("_p.indices").alias("_t"), F.col("_p.values").cast("double").alias("_v"))
+    mine = held.join(asked.select(scope, "_t").distinct(), [scope, "_t"], "left_semi")
+    whole = docs.groupBy(scope).agg(F.count(F.lit(1)).alias("_n"))
+    df = mine.groupBy(scope, "_t").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) if rarity else F.lit(1.0)
+    weighed = asked.join(df, [scope, "_t"]).join(whole, scope).select(scope, query, "_t", (F.col("_q") * idf).alias("_w"))
+    return mine.join(weighed, [scope, "_t"]).groupBy(query, ident).agg(F.round(F.sum(F.col("_v") * F.col("_w")), DIGITS).alias("score"))

@@ -86,6 +86,7 @@ def hashed_dense(words: list[str], features: Features) -> np.ndarray:
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1; rows of zeros stay."""
+    vectors = np.asarray(vectors, np.float64)  # an empty count has whole numbers
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
