@@ -38,3 +38,14 @@ def ordinals(df: DataFrame, key: Column, order: Column, *keep: str) -> DataFrame
     named = named.groupBy("period").agg(F.min("_order").alias("_order"), *[F.min_by(c, "_order").alias(c) for c in keep if c != "_order"])
     number = F.row_number().over(Window.orderBy("_order", "period")) - 1
     return named.select("period", number.alias("ordinal"), *keep)
+
+
+def canonical_list(ids: Column) -> Column:
+    """A list of ids in order; a repeated id is an error when the column is run, null gives null."""
+    return F.when(F.size(F.array_distinct(ids)) < F.size(ids), F.raise_error(F.lit("a list repeats an id")).cast("array<string>")).otherwise(F.array_sort(ids))
+
+
+def collection_name(prefix: Column, profile: Column, longest: int = 63) -> Column:
+    """A name for a collection: the prefix in safe characters and a digest of the profile, no longer than allowed."""
+    safe = F.regexp_replace(F.lower(prefix), r"[^a-z0-9]+", "-")
+    return F.concat(F.substring(safe, 1, longest - 17), F.lit("-"), F.substring(F.sha2(profile, 256), 1, 16))

@@ -81,6 +81,32 @@ def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.join(whole, RELEASE).select(RELEASE, "reason", "n_evidence", "n_release", F.round(low, 6).alias("share_low"), F.round(high, 6).alias("share_high"))
 
 
+def approval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a classified release: every row judged, none approved with reasons or without roles, no text approved twice."""
+    made = _classified(spark, sf_dir)
+    texts = _counting(spark, sf_dir, print=F.sha2(X.fold_case(F.col("content_search")), 256))
+    both = texts.join(made, [RELEASE, EVIDENCE], "left")
+    ok = F.col("disposition") == "APPROVE"
+    twice = both.where(ok & F.col("print").isNotNull()).groupBy(RELEASE, "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy(RELEASE).agg(F.count(F.lit(1)).alias("n_twice"))
+    sums = both.groupBy(RELEASE).agg(F.count_if(F.col("disposition").isNull()).alias("n_unjudged"), F.count_if(ok & ((F.size("reasons") > 0) | (F.size("roles") == 0))).alias("n_unsound"), F.count_if(ok).alias("n_approved"))
+    return sums.join(twice, RELEASE, "left").select(RELEASE, "n_unjudged", "n_unsound", "n_approved", F.coalesce("n_twice", F.lit(0)).alias("n_twice"))
+
+
+#: What a question of a topic asks for. Fixed values.
+PROMPTS = {"CONTRAINDICATION": "restriction or contraindication", "APPLICABILITY": "population applicability", "DOSE": "dose or threshold", "MONITORING": "monitoring requirement", "NEGATION": "explicit negative statement"}
+LONGEST_FRAGMENT = 320
+
+
+def built_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each evidence by the first topic that its wording gives it, with the longest fragment that is allowed; evidence without one has none."""
+    text = F.coalesce("content_search", F.lit(""))
+    wordings = {"CONTRAINDICATION": X.EXCEPTION, "DOSE": X.TOPICS["dose"], "MONITORING": X.TOPICS["monitoring"], "APPLICABILITY": X.TOPICS["applicability"], "NEGATION": X.TOPICS["negation"]}
+    topic = F.coalesce(*[F.when(text.rlike(p), F.lit(t)) for t, p in wordings.items()])
+    asked = F.coalesce(*[F.when(F.col("topic") == t, F.lit(words)) for t, words in PROMPTS.items()])
+    rows = _counting(spark, sf_dir, topic=topic, fragment=X.fragment(F.col("content_search"), LONGEST_FRAGMENT)).where("topic IS NOT NULL")
+    return rows.select(RELEASE, EVIDENCE, "topic", F.concat(F.lit("Retrieve the source "), asked, F.lit(" stating: "), F.col("fragment")).alias("question"))
+
+
 def statement_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the reason why they aren't in the frame of graded recommendations; the row without a reason is in it."""
     docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select(quality.dropped_for(F.col("text")).alias("reason"))
@@ -240,7 +266,7 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LISTED = [
-    table_headers, passage_kinds, rendered_passages, anchor_surfaces, passage_blocks, classified_evidence, quarantine_counts, statement_frame, conflict_pairs, text_overlap, tristate,
+    table_headers, passage_kinds, rendered_passages, anchor_surfaces, passage_blocks, classified_evidence, quarantine_counts, approval_checks, built_questions, statement_frame, conflict_pairs, text_overlap, tristate,
     keyed_partitions, topic_coverage, topic_candidates, shared_gold, provenance, draw_checks, chapter_coverage, role_counts, runtime_matrix, flag_counts,
 ]
 QUERIES = {f.__name__: f for f in _LISTED}
@@ -324,6 +350,8 @@ SELECT rel AS corpus_release_id, id AS evidence_id, surface, n AS n_anchors, CAS
     "passage_blocks": f"WITH {_EV}, b AS (SELECT rel, string_split(content_exact, chr(10) || chr(10)) AS b, len([a FOR a IN coalesce(anchors, []) IF a.pdf_page IS NOT NULL]) AS p FROM ev WHERE content_exact IS NOT NULL AND NOT regexp_matches(content_exact, '^[A-Z]{{1,3}}[0-9]+=')) SELECT rel AS corpus_release_id, is_paired, count(*) AS n_blocks, CAST(sum(length(x)) AS BIGINT) AS n_characters FROM (SELECT rel, len(b) > 1 AND len(b) = p AS is_paired, unnest(b) AS x FROM b) GROUP BY ALL",
     "classified_evidence": f"WITH {_CLASSIFIED} SELECT rel AS corpus_release_id, id AS evidence_id, CASE WHEN len(reasons) > 0 THEN 'QUARANTINE' ELSE 'APPROVE' END AS disposition, coalesce(array_to_string(reasons, ','), '') AS reasons, CASE WHEN len(reasons) > 0 THEN '' ELSE coalesce(array_to_string(roles, ','), '') END AS roles FROM final",
     "quarantine_counts": f"WITH {_CLASSIFIED}, e AS (SELECT rel, unnest(reasons) AS reason FROM final), c AS (SELECT rel AS corpus_release_id, reason, count(*) AS n_evidence, any_value(n) AS n_release FROM e JOIN (SELECT rel, count(*) AS n FROM final GROUP BY rel) USING (rel) GROUP BY ALL) SELECT *, {_LOW} AS share_low, {_HIGH} AS share_high FROM c",
+    "approval_checks": f"WITH {_CLASSIFIED}, a AS (SELECT f.rel, f.id, f.reasons, f.roles, d.folded FROM final f JOIN dup d ON d.rel = f.rel AND d.id = f.id), t AS (SELECT rel, count(*) AS n FROM (SELECT rel, folded FROM a WHERE len(reasons) = 0 AND folded IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY rel) SELECT rel AS corpus_release_id, 0 AS n_unjudged, count(*) FILTER (len(reasons) = 0 AND len(roles) = 0) AS n_unsound, count(*) FILTER (len(reasons) = 0) AS n_approved, coalesce(any_value(t.n), 0) AS n_twice FROM a LEFT JOIN t USING (rel) GROUP BY rel",
+    "built_questions": f"WITH {_EV}, v AS (SELECT rel, id, {S.view('content_search')} AS t, CASE {' '.join(f'WHEN regexp_matches(content_search, {S.q(p)}) THEN {S.q(t)}' for t, p in (('CONTRAINDICATION', X.EXCEPTION), ('DOSE', X.TOPICS['dose']), ('MONITORING', X.TOPICS['monitoring']), ('APPLICABILITY', X.TOPICS['applicability']), ('NEGATION', X.TOPICS['negation'])))} END AS topic FROM ev WHERE content_search IS NOT NULL) SELECT rel AS corpus_release_id, id AS evidence_id, topic, 'Retrieve the source ' || CASE topic {' '.join(f'WHEN {S.q(t)} THEN {S.q(w)}' for t, w in PROMPTS.items())} END || ' stating: ' || CASE WHEN length(t) <= {LONGEST_FRAGMENT} THEN t WHEN contains(substr(t, 1, {LONGEST_FRAGMENT}), ' ') AND regexp_replace(substr(t, 1, {LONGEST_FRAGMENT}), ' [^ ]*$', '') <> '' THEN regexp_replace(substr(t, 1, {LONGEST_FRAGMENT}), ' [^ ]*$', '') ELSE substr(t, 1, {LONGEST_FRAGMENT}) END AS question FROM v WHERE topic IS NOT NULL",
     "statement_frame": f"""WITH t AS (SELECT text, [lower(x) FOR x IN regexp_extract_all(text, {S.q(X.STRENGTH)}, 1)] AS s, [lower(x) FOR x IN regexp_extract_all(text, {S.q(X.CERTAINTY)}, 1)] AS c FROM documents WHERE text IS NOT NULL)
 SELECT CASE WHEN NOT (len(list_distinct(s)) <= 1 AND len(list_distinct(c)) <= 1 AND len(s) + len(c) > 0) THEN 'not graded' WHEN length(text) < 120 THEN 'too short' WHEN regexp_matches(text, {S.q(quality.BULLET)}) THEN 'bullet fragment' WHEN regexp_matches(text, {S.q(quality.SECTION)}) THEN 'section heading' WHEN regexp_matches(text, {S.q(quality.FOOTNOTE)}) THEN 'footnote' WHEN NOT regexp_matches(text, {S.q(quality.DEONTIC)}) THEN 'no deontic verb' END AS reason, count(*) AS n_documents FROM t GROUP BY 1""",
     "conflict_pairs": f"WITH {_CONFLICT} SELECT DISTINCT rel AS corpus_release_id, least(id, other) AS left_id, greatest(id, other) AS right_id, CAST(shared AS INTEGER) AS shared FROM best WHERE shared >= 2",

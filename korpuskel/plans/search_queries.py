@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpuskel.functions import expansion as V
@@ -249,9 +249,9 @@ def retrieval_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflict_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads for questions that ask for both sides of a conflict: each case's question against the one of the next case of its release."""
     cases = _cases(spark, sf_dir).where("text IS NOT NULL")
-    pairs = cases.alias("a").join(cases.groupBy(RELEASE).agg(F.sort_array(F.collect_list(F.struct("case_id", "text"))).alias("all")), RELEASE)
-    other = F.element_at(F.col("all"), F.when(F.array_position("all.case_id", F.col("case_id")) < F.size("all"), F.array_position("all.case_id", F.col("case_id")).cast("int") + 1).otherwise(1))["text"]
-    asked = pairs.select("case_id", RELEASE, F.concat(F.lit("Retrieve both source passages needed to inspect a potential conflict: "), F.col("text"), F.lit(" | "), other).alias("text"))
+    along = Window.partitionBy(RELEASE).orderBy("case_id")
+    other = F.coalesce(F.lead("text").over(along), F.first("text").over(along))
+    asked = cases.select("case_id", RELEASE, F.concat(F.lit("Retrieve both source passages needed to inspect a potential conflict: "), F.col("text"), F.lit(" | "), other).alias("text"))
     base, more = _expanded(spark, sf_dir, asked)
     fused = _two_level(base, more).select("case_id", EVIDENCE, "rank")
     described = _described(spark, sf_dir, fused, asked, roles=F.coalesce("evidence_roles", F.array().cast("array<string>")), version=F.col("source_version_id"), text=F.col("content_search"))
@@ -285,6 +285,13 @@ def deduplicated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("case_id", EVIDENCE, "place", F.size("suppressed").alias("n_suppressed"), F.array_join("suppressed", ",").alias("suppressed"))
 
 
+def uncited_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen passages that no gold evidence cites, in the order of the list."""
+    cases = _cases(spark, sf_dir)
+    picked = _selected(spark, sf_dir, cut(_fused(_lanes(spark, sf_dir, SPARSE, DENSE))), cases).select("case_id", EVIDENCE, "place")
+    return picked.join(cases.select("case_id", F.explode("gold.id").alias(EVIDENCE)), ["case_id", EVIDENCE], "left_anti")
+
+
 def role_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the chosen passages of each case cover the roles that an answer needs."""
     cases = _cases(spark, sf_dir)
@@ -401,7 +408,7 @@ def vector_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LISTED = [
     sparse_topk, plain_topk, lexical_rank, hashed_topk, rarity_effect, filtered_topk, served_topk, filter_violations, gold_filters, gold_ranks, rrf_fusion, isolated_fusion, fusion_trace,
-    failure_classes, query_expansions, two_level_fusion, retrieval_floor, conflict_selection, reranked_topk, deduplicated_topk, role_gates, case_metrics, mode_summary, stratum_summary,
+    failure_classes, query_expansions, two_level_fusion, retrieval_floor, conflict_selection, reranked_topk, deduplicated_topk, uncited_candidates, role_gates, case_metrics, mode_summary, stratum_summary,
     unmet_thresholds, dense_topk, dense_dot_topk, self_retrieval, vector_checks, vector_differences,
 ]
 QUERIES = {f.__name__: f for f in _LISTED}
@@ -577,6 +584,7 @@ SQL = {
     "retrieval_floor": f"WITH {_WIDE}, {_FLOOR} SELECT case_id, id AS evidence_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY part, n) AS INTEGER) AS rank FROM ordered QUALIFY rank <= {DEPTH}",
     "reranked_topk": f"WITH {_HYBRID}, {_RERANK} SELECT case_id, id AS evidence_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM pool JOIN chosen USING (case_id, id)",
     "deduplicated_topk": f"WITH {_PICKED}, lost AS (SELECT p.case_id, p.print, string_agg(p.id, ',' ORDER BY p.rank) AS ids, count(*) AS n FROM printed p JOIN firsts f USING (case_id, print) WHERE p.rank > f.rank GROUP BY ALL) SELECT case_id, id AS evidence_id, CAST(place AS INTEGER) AS place, CAST(coalesce(n, 0) AS INTEGER) AS n_suppressed, coalesce(ids, '') AS suppressed FROM picked LEFT JOIN lost USING (case_id, print)",
+    "uncited_candidates": f"WITH {_PICKED}, {_GOLD} SELECT case_id, id AS evidence_id, CAST(place AS INTEGER) AS place FROM picked ANTI JOIN gold USING (case_id, id)",
     "role_gates": f"WITH {_GATE} SELECT case_id, coalesce(array_to_string(covered, ','), '') AS covered, coalesce(array_to_string([r FOR r IN {REQUIRED_ROLES} IF NOT list_contains(covered, r)], ','), '') AS missing, len([r FOR r IN {REQUIRED_ROLES} IF NOT list_contains(covered, r)]) = 0 AS passes, n_disqualified FROM gates",
     "case_metrics": f"WITH {_METRICS} SELECT mode, case_id, population, {', '.join(f'round({m}, 6) AS {m}' for m in evaluation.MEASURES)}, complete, complete_at_budget, n_forbidden FROM metrics",
     "mode_summary": f"WITH {_METRICS} {_summary_sql('metrics', 'mode')}",

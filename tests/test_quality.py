@@ -9,10 +9,12 @@ import json
 import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from korpuskel.functions import exact as E
 from korpuskel.functions import text as X
+from korpuskel.functions.keys import canonical_list, collection_name
 from korpuskel.operators import applicability, lifecycle, pairing, presentation, quality
 from korpuskel.operators import registry as R
 
@@ -241,3 +243,12 @@ def test_claims_accounts_and_caches(spark):
     assert (row.n_expected, row.n_missing, row.n_extra, row.n_both, row.is_sound) == (3, 1, 1, 1, False)
     pairs, cache = spark.createDataFrame([("x",), ("y",)], "t string"), spark.createDataFrame([("x", 0.5), ("x", 0.4)], "cache_key string, score double")
     assert {r.t: (r.score, r.is_cached) for r in R.with_cache(pairs, cache, F.col("t"), F.lit(0.1)).collect()} == {"x": (0.5, True), "y": (0.1, False)}
+
+
+def test_lists_and_names(spark):
+    df = spark.createDataFrame([(["b", "a"],), ([],), (None,)], "ids array<string>")
+    assert [r.x for r in df.select(canonical_list(F.col("ids")).alias("x")).collect()] == [["a", "b"], [], None]
+    with pytest.raises(Exception, match="repeats an id"):
+        spark.createDataFrame([(["a", "a"],)], "ids array<string>").select(canonical_list(F.col("ids"))).collect()
+    name = spark.createDataFrame([("Release 1/" + "x" * 90,)], "p string").select(collection_name(F.col("p"), F.lit("profile")).alias("n")).first().n
+    assert len(name) == 63 and name.startswith("release-1-xxx") and name.endswith(hashlib.sha256(b"profile").hexdigest()[:16])
