@@ -50,7 +50,9 @@ def adjudicator_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _collapsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     evidence = read_table(spark, sf_dir, "corpus_evidence")
     bared = copies.bare_rows(evidence.select("corpus_release_id", "evidence_id", "delivered_at", "content_exact", "content_search"), "content_exact", "bare_exact")
-    print_of = F.when(~copies.is_blank(F.col("content_exact")), copies.fingerprint(F.col("bare_exact"), copies.bare(F.col("content_search"))))
+    # A column of its own: within a condition an expression that is used twice is also made twice.
+    bared = bared.withColumn("bare_search", copies.bare(F.col("content_search")))
+    print_of = F.when(~copies.is_blank(F.col("content_exact")), copies.fingerprint(F.col("bare_exact"), F.col("bare_search")))
     counting = latest_rows(
         bared,
         {"corpus_release_id": tidy("corpus_release_id"), "evidence_id": tidy("evidence_id")},
