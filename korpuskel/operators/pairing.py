@@ -36,10 +36,12 @@ def conflict_pairs(passages: DataFrame, scope: str, ident: str, text: str, rares
     first = limited.groupBy("s", "t").agg(few("i").alias("ids"))
     order = Window.partitionBy("s", "i").orderBy("n", "t")
     useful = each(True).join(held, ["s", "t"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= rarest)
-    candidates = useful.join(first, ["s", "t"]).select("s", "i", F.explode("ids").alias("other")).distinct()
     tokens = made.select("s", "i", "tokens")
-    mine = candidates.join(tokens, ["s", "i"]).withColumnRenamed("tokens", "mine")
-    both = mine.join(tokens.select("s", F.col("i").alias("other"), F.col("tokens").alias("theirs")), ["s", "other"])
-    best = both.groupBy("s", "i").agg(F.max(F.struct(F.size(F.array_intersect("mine", "theirs")).alias("shared"), F.col("other"))).alias("b")).where(F.col("b.shared") >= least)
+    # A token's first passages come with their tokens, so that partners are compared where they meet and no pair is shuffled.
+    partners = first.select("s", "t", F.explode("ids").alias("i")).join(tokens, ["s", "i"]).groupBy("s", "t").agg(F.collect_list(F.struct("i", "tokens")).alias("partners"))
+    mine = useful.select("s", "i", "t").join(tokens, ["s", "i"])
+    shared = F.transform("partners", lambda p: F.struct(F.size(F.array_intersect("tokens", p["tokens"])).alias("shared"), p["i"].alias("other")))
+    met = mine.join(partners, ["s", "t"]).select("s", "i", F.array_max(shared).alias("b"))
+    best = met.groupBy("s", "i").agg(F.max("b").alias("b")).where(F.col("b.shared") >= least)
     pair = best.select(F.col("s").alias(scope), F.least("i", "b.other").alias("left_id"), F.greatest("i", "b.other").alias("right_id"), F.col("b.shared").alias("shared"))
     return pair.distinct()
