@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpuskel.functions import text as X
+from korpuskel.operators import registry as R
 
 #: Beginnings of rows that head columns or say what a table is, of pages that hold no evidence, and sheets without evidence. Fixed values.
 HEADER_STARTS = [
@@ -112,3 +113,39 @@ def dropped_for(text: Column) -> Column:
         .when(text.rlike(FOOTNOTE), "footnote")
         .when(~text.rlike(DEONTIC), "no deontic verb")
     )
+
+
+#: A line that opens a chapter, page numbers in Roman numerals before a text, and the grade that ends a recommendation. Fixed values.
+CHAPTER, FOLIO = r"^Chapter ([0-9]+):\s*(.+?)(?:\s*\(continued\))?\s*$", r"^[ivxlcIVXLC]+\s+"
+GRADED = r"(?i)\((strong|conditional) recommendation[,;]?\s*([^)]*?certainty[^)]*)\)"
+LONGEST_HEADING = 80  # characters, exclusive
+
+
+def statements(blocks: DataFrame, document: str, running: str = r"^$") -> DataFrame:
+    """Statement-shaped blocks with the chapter and heading they stand under, and their grade: ``chapter_no``, ``chapter``, ``heading``, ``statement``, ``strength``, ``certainty``.
+
+    ``blocks``: document, ``page``, ``block_no``, ``text``. ``running`` matches
+    running heads, which are left out as empty blocks are. A chapter line ends
+    the heading before it; a block of fewer than ``LONGEST_HEADING`` characters is
+    a heading. Both are carried forward over pages, so a long document is never
+    in one task.
+    """
+    text = F.regexp_replace(X.search_view(F.col("text")), FOLIO, "")
+    kept = blocks.select(document, "page", "block_no", text.alias("t")).where((F.col("t") != "") & ~F.col("t").rlike(running))
+    opens = F.col("t").rlike(CHAPTER)
+    heads = ~opens & (F.length("t") < LONGEST_HEADING)
+    marked = kept.withColumns({"_opens": opens, "_heads": heads, "_chapter": F.when(opens, F.col("t")), "_heading": F.when(opens, F.lit("")).when(heads, F.col("t"))})
+    order = ["page", "block_no"]
+    filled = R.fill_forward(R.fill_forward(marked, [document], order, "page", "_chapter", "_under"), [document], order, "page", "_heading", "heading")
+    grade = lambda n: F.nullif(F.lower(F.regexp_extract("t", GRADED, n)), F.lit(""))
+    return filled.where(~F.col("_opens") & ~F.col("_heads")).select(
+        document,
+        "page",
+        "block_no",
+        F.regexp_extract("_under", CHAPTER, 1).try_cast("int").alias("chapter_no"),
+        F.regexp_extract("_under", CHAPTER, 2).alias("chapter"),
+        F.nullif("heading", F.lit("")).alias("heading"),
+        F.col("t").alias("statement"),
+        grade(1).alias("strength"),
+        grade(2).alias("certainty"),
+    )

@@ -252,3 +252,11 @@ def test_lists_and_names(spark):
         spark.createDataFrame([(["a", "a"],)], "ids array<string>").select(canonical_list(F.col("ids"))).collect()
     name = spark.createDataFrame([("Release 1/" + "x" * 90,)], "p string").select(collection_name(F.col("p"), F.lit("profile")).alias("n")).first().n
     assert len(name) == 63 and name.startswith("release-1-xxx") and name.endswith(hashlib.sha256(b"profile").hexdigest()[:16])
+
+
+def test_statements_stand_under_their_headings(spark):
+    long = "People should be offered a test at every visit to the clinic, whatever their age or reason "
+    blocks = [(1, 1, "Chapter 1: Testing"), (1, 2, "Who"), (1, 3, "xii " + long + "(strong recommendation, low certainty evidence)."), (2, 1, "Running head"), (2, 2, long), (3, 1, "Chapter 2: Care  (continued)"), (3, 2, long), (3, 3, ""), (3, 4, None)]
+    df = spark.createDataFrame([("d", *b) for b in blocks], "doc string, page int, block_no int, text string")
+    got = [(r.page, r.chapter_no, r.chapter, r.heading, r.strength, r.certainty) for r in quality.statements(df, "doc", "^Running").orderBy("page").collect()]
+    assert got == [(1, 1, "Testing", "Who", "strong", "low certainty evidence"), (2, 1, "Testing", "Who", None, None), (3, 2, "Care", None, None, None)]
