@@ -125,8 +125,8 @@ def ask(queries: DataFrame, scope: str, query: str, text: str, filters: tuple[st
         yield Asked(ids, scopes, of_scope, terms, pairs, np.concatenate([[0], np.cumsum(counts)]), owner[order], allowed, vectors, kind=queries.schema[query].dataType)
 
 
-_NUMBERS, _SMALL = T.ArrayType(T.IntegerType()), T.ArrayType(T.ShortType())
-_POSTINGS = [T.StructField(n, k) for n, k in (("_n", T.IntegerType()), ("_pairs", _NUMBERS), ("_tfs", _NUMBERS), ("_at", _SMALL), ("_halves", _SMALL))]
+_NUMBERS = T.ArrayType(T.IntegerType())
+_POSTINGS = [T.StructField(n, k) for n, k in (("_n", T.IntegerType()), ("_pairs", _NUMBERS), ("_tfs", _NUMBERS), ("_vector", T.BinaryType()))]
 _UNACCENT = str.maketrans(X.ACCENTED, X.PLAIN)
 
 
@@ -145,8 +145,39 @@ def _vectors(codes: np.ndarray, doc: np.ndarray, n_docs: int, vocabulary: list[s
     return halves
 
 
+def _packed(vectors: np.ndarray) -> pa.BinaryArray:
+    """Rows of whole numbers as bytes: for each that isn't 0 its distance from the one before and its value, in several steps where a byte is too small."""
+    row, at = np.nonzero(vectors)
+    value = vectors[row, at].astype(np.int64)
+    far = np.diff(at, prepend=0)
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    far[starts] = at[starts]
+    wide = far > 255
+    row, far, value = (np.insert(x, np.flatnonzero(wide), v) for x, v in ((row, row[wide]), (far, 255), (value, 0)))
+    after = np.flatnonzero(wide) + np.arange(1, wide.sum() + 1)
+    far[after] -= 255
+    steps = np.maximum(1, -(-np.abs(value) // 127))
+    number = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+    left = np.abs(np.repeat(value, steps)) - 127 * number
+    pairs = np.stack([np.where(number == 0, np.repeat(far, steps), 0).astype(np.uint8), (np.sign(np.repeat(value, steps)) * np.minimum(left, 127)).astype(np.int8).view(np.uint8)], 1)
+    ends = 2 * np.searchsorted(np.repeat(row, steps), np.arange(len(vectors) + 1))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(pairs.tobytes())])
+
+
+def _unpacked(column: pa.BinaryArray) -> np.ndarray:
+    """What ``_packed`` packed; rows of zeros for nulls."""
+    column = column.fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, 2)
+    row = np.repeat(np.arange(len(column)), np.diff(ends) // 2)
+    far = np.cumsum(data[:, 0].astype(np.int64))
+    base = np.concatenate([[0], far])[(ends[:-1] - ends[0]) // 2] if len(column) else far
+    cell = row * VECTOR + far - base[row]
+    return np.bincount(cell, data[:, 1].view(np.int8).astype(np.float64), len(column) * VECTOR).reshape(len(column), VECTOR)
+
+
 def postings(docs: DataFrame, scope: str, text: str, asked: Asked, dense: bool = False) -> DataFrame:
-    """``docs`` without the text, with the number of its tokens, its postings of asked pairs, and its hashed vector (positions and values, in halves).
+    """``docs`` without the text, with the number of its tokens, its postings of asked pairs, and its hashed vector, packed, in halves.
 
     Words are made in the JVM; forms without accents, numbers and counts a batch
     at a time, by the batch's vocabulary. Documents of scopes that nobody asks
@@ -180,14 +211,8 @@ def postings(docs: DataFrame, scope: str, text: str, asked: Asked, dense: bool =
             both, tf = np.unique(of[hit] * n_pairs + pair[hit], return_counts=True)
             ends = pa.array(np.searchsorted(both // n_pairs, np.arange(rows + 1)), pa.int32())
             columns = [pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(both % n_pairs, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))]
-            owner, at, halves = np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16)
-            if dense and len(codes):
-                mine = place[doc] >= 0
-                vectors = _vectors(codes[mine], doc[mine], rows, vocabulary, features)
-                owner, at = np.nonzero(vectors)
-                halves = vectors[owner, at]
-            vector_ends = pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32())
-            columns += [pa.ListArray.from_arrays(vector_ends, pa.array(v.astype(np.int16))) for v in (at, np.clip(halves, -32768, 32767))]
+            mine = place[doc] >= 0
+            columns.append(_packed(_vectors(codes[mine], doc[mine], rows, vocabulary, features)) if dense and len(codes) else pa.nulls(rows, pa.binary()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -255,10 +280,7 @@ class _Scorer:
                     summed = np.bincount(cell, np.repeat(weights[lane](), reps), n_docs * n_queries).reshape(n_docs, n_queries)
                     yield lane, np.where(met, np.round(summed, DIGITS), -np.inf)
         if DENSE in self.lanes:
-            lists = batch.column("_at")
-            doc = np.repeat(np.arange(n_docs), np.asarray(pc.list_value_length(lists).fill_null(0), np.int64))
-            flat = np.bincount(doc * VECTOR + np.asarray(lists.flatten(), np.int64), np.asarray(batch.column("_halves").flatten(), np.float64), n_docs * VECTOR)
-            vectors = _unit(flat.reshape(n_docs, VECTOR))
+            vectors = _unit(_unpacked(batch.column("_vector")))
             scores = np.round(vectors @ asked.vectors.T, DIGITS) + 0.0
             some = vectors.any(1)[:, None] & asked.vectors.any(1)[None, :]
             yield DENSE, np.where(some, scores, -np.inf)

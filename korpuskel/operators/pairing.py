@@ -29,16 +29,13 @@ def conflict_pairs(passages: DataFrame, scope: str, ident: str, text: str, rares
     made = known.select(F.col(scope).alias("s"), F.col(ident).alias("i"), F.col(text).rlike(X.TOPICS["negation"]).alias("negative"), X.conflict_tokens(F.col(text)).alias("tokens"))
     each = lambda negative: made.where(F.col("negative") == negative).select("s", "i", F.explode("tokens").alias("t"))
     held = each(False).groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
-    # The first ids of a token are found by partial lists, so a usual token gathers a bounded list only.
-    salted = each(False).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(64)))
-    few = lambda c: F.slice(F.sort_array(F.collect_set(c)), 1, postings)
-    limited = salted.withColumn("n", F.row_number().over(Window.partitionBy("s", "t", "salt").orderBy("i"))).where(F.col("n") <= postings)
-    first = limited.groupBy("s", "t").agg(few("i").alias("ids"))
+    # Each task passes on a token's first ids only (a limit within groups runs before the shuffle), so a usual token gathers few.
+    first = each(False).withColumn("n", F.row_number().over(Window.partitionBy("s", "t").orderBy("i"))).where(F.col("n") <= postings).select("s", "t", "i")
     order = Window.partitionBy("s", "i").orderBy("n", "t")
     useful = each(True).join(held, ["s", "t"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= rarest)
-    tokens = made.select("s", "i", "tokens")
+    tokens = made.select("s", "i", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
     # A token's first passages come with their tokens, so that partners are compared where they meet and no pair is shuffled.
-    partners = first.select("s", "t", F.explode("ids").alias("i")).join(tokens, ["s", "i"]).groupBy("s", "t").agg(F.collect_list(F.struct("i", "tokens")).alias("partners"))
+    partners = first.join(tokens, ["s", "i"]).groupBy("s", "t").agg(F.collect_list(F.struct("i", "tokens")).alias("partners"))
     mine = useful.select("s", "i", "t").join(tokens, ["s", "i"])
     shared = F.transform("partners", lambda p: F.struct(F.size(F.array_intersect("tokens", p["tokens"])).alias("shared"), p["i"].alias("other")))
     met = mine.join(partners, ["s", "t"]).select("s", "i", F.array_max(shared).alias("b"))

@@ -93,6 +93,19 @@ def test_hashed_vectors_match_their_definition(spark):
     assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
 
 
+def test_packed_vectors_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random((200, lanes.VECTOR)) < rng.random((200, 1)) * 0.4, rng.integers(-900, 900, (200, lanes.VECTOR)), 0)
+    v[3], v[7] = 0, 0
+    v[8] = 0
+    v[8, -1], v[9, 0] = 5, -128
+    packed = lanes._packed(v.astype(float))
+    assert (lanes._unpacked(packed) == v).all() and (lanes._unpacked(packed.slice(5, 60)) == v[5:65]).all()
+    assert lanes._unpacked(packed.slice(0, 0)).shape == (0, lanes.VECTOR) and lanes._packed(np.zeros((2, lanes.VECTOR))).to_pylist() == [b"", b""]
+
+
 def test_filters_and_counting_rows(spark):
     rows = [("r", "a", 1, "x", "en"), ("r", "a", 2, "y", "en"), ("r", "b", 1, "x", "fr"), ("r", "c", 1, "x", None), ("r", None, 1, "x", "en"), ("s", "d", 1, "x", "en")]
     docs = spark.createDataFrame(rows, "scope string, id string, at int, text string, lang string")
