@@ -164,6 +164,14 @@ def test_pack_items(spark):
     assert packing.pack_items(df.limit(0), "id", "n", 10, 0).count() == 0
 
 
+def test_repeats_of_one_item_are_spread(spark):
+    df = spark.range(2000).selectExpr("CASE WHEN id < 1500 THEN 7 ELSE id END AS id", "3L AS n")
+    got = packing.pack_items(df, "id", "n", 10, 2000, per_shard=100).collect()
+    held = Counter(i for r in got for i in r.ids)
+    assert held[7] == 1500 and sum(held.values()) == 2000
+    assert len({r.container_id >> 40 for r in got if 7 in r.ids}) == 20 and len(got) <= 2000 * 3 / 9 + 20
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "a dose of 5 mg"), (2, None), (3, ""), (4, "word " * 50_000), (5, "<|endoftext|>")], "id int, text string").withColumn("lang", F.lit("x"))
     got = {r.id: r.n_tokens for r in tokens.with_token_counts(df, "text").collect()}
