@@ -23,7 +23,8 @@ def conflict_pairs(passages: DataFrame, scope: str, ident: str, text: str, rares
     wins a tie and that a pair shares ``least`` tokens at least. Tokens are those
     of ``functions.text.conflict_tokens``. Work is in proportion to the rows, not
     to the pairs: a token gives at most ``postings`` partners to each passage.
-    A pair found from both sides comes once. Null texts and keys are left out.
+    A pair found from both sides comes once. Shared tokens are counted by 64-bit
+    hashes. Null texts and keys are left out.
     """
     known = passages.where(F.col(scope).isNotNull() & F.col(ident).isNotNull() & F.col(text).isNotNull())
     made = known.select(F.col(scope).alias("s"), F.col(ident).alias("i"), F.col(text).rlike(X.TOPICS["negation"]).alias("negative"), X.conflict_tokens(F.col(text)).alias("tokens"))
