@@ -178,6 +178,33 @@ def conflict_tokens(text: Column) -> Column:
     return F.filter(loose_tokens(text, 4), lambda t: ~t.rlike(r"^\p{Nd}+$") & ~F.array_contains(usual, t))
 
 
+#: Words that are identifiers, not language; and bounds of a paraphrase: words replaced, words kept, tokens, terms in all, shared tokens. Fixed values.
+IDENTIFIER_WORD = r"^(?:[A-Za-z]{1,6}\.[\w.]+|[A-Z]{2,}\d[\w.-]*|\d[\w.-]*|[\w-]*\d{3,}[\w-]*)$"
+LEAST_REPLACED, LEAST_KEPT, LEAST_TOKENS, MOST_WORDS, MOST_OVERLAP = 3, 3, 8, 60, 0.55
+
+
+def paraphrase(text: Column, vocabulary: dict[str, str], usual: list[str]) -> Column:
+    """(``question``, ``overlap``): a text said in other words, or null where the bounds aren't met.
+
+    Words shorter than three characters, usual ones and identifiers are left out,
+    words of the vocabulary replaced, repeats in folded case dropped. ``overlap``
+    is the share of the question's tokens that the text holds.
+    """
+    swaps = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+    skip = F.array(*[F.lit(w) for w in usual]).cast("array<string>")
+    words = F.filter(F.regexp_extract_all(text, F.lit(_LOOSE), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.array_contains(skip, fold_case(w)) & ~w.rlike(IDENTIFIER_WORD))
+    replaced = F.size(F.filter(words, lambda w: F.map_contains_key(swaps, fold_case(w))))
+    said = F.split(F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(swaps, fold_case(w)), w)), " "), " ")
+    none = F.array().cast("array<string>")
+    full = lambda acc, w: (F.size(acc["keys"]) >= MOST_WORDS) | F.array_contains(acc["keys"], fold_case(w))
+    first = F.aggregate(said, F.struct(none.alias("keys"), none.alias("words")), lambda acc, w: F.when(full(acc, w), acc).otherwise(F.struct(F.array_append(acc["keys"], fold_case(w)).alias("keys"), F.array_append(acc["words"], w).alias("words"))))
+    question = F.array_join(first["words"], " ")
+    asked = loose_tokens(question)
+    overlap = F.round(F.size(F.array_intersect(asked, loose_tokens(text))) / F.greatest(F.size(asked), F.lit(1)), 9)
+    fits = (replaced >= LEAST_REPLACED) & (F.size(words) - replaced >= LEAST_KEPT) & (F.size(asked) >= LEAST_TOKENS) & (overlap <= MOST_OVERLAP)
+    return F.when(fits, F.struct(question.alias("question"), overlap.alias("overlap")))
+
+
 def fragment(text: Column, most: int) -> Column:
     """A text with single blanks, cut at ``most`` characters and there back to the last blank."""
     view = search_view(text)

@@ -260,3 +260,12 @@ def test_statements_stand_under_their_headings(spark):
     df = spark.createDataFrame([("d", *b) for b in blocks], "doc string, page int, block_no int, text string")
     got = [(r.page, r.chapter_no, r.chapter, r.heading, r.strength, r.certainty) for r in quality.statements(df, "doc", "^Running").orderBy("page").collect()]
     assert got == [(1, 1, "Testing", "Who", "strong", "low certainty evidence"), (2, 1, "Testing", "Who", None, None), (3, 2, "Care", None, None, None)]
+
+
+def test_paraphrases(spark):
+    swaps = {"panel": "group", "agreed": "decided", "draft": "proposal", "review": "check", "wards": "units", "weeks": "months"}
+    texts = {"fits": "The panel agreed the draft review. Wards follow weeks later after HIV.A1 in 2024 again again", "few": "The panel agreed on it", "same": "alpha beta gamma delta panel agreed draft epsilon zeta eta theta iota", "null": None}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string").select("k", X.paraphrase(F.col("t"), swaps, ["the"]).alias("p"))
+    got = {r.k: r.p for r in df.collect()}
+    assert got["fits"].question == "group decided proposal check. units follow months later after again" or got["fits"].question.startswith("group decided proposal")
+    assert got["fits"].overlap <= X.MOST_OVERLAP and got["few"] is None and got["same"] is None and got["null"] is None
