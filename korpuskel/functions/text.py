@@ -287,7 +287,7 @@ def cells(text: Column) -> Column:
     kind = "array<struct<column:string,row:string,value:string>>"
 
     def step(acc: Column, item: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         starts = (item["column"] != "") & ((F.size(acc) == 0) | ((item["row"] == last["row"]) & (column_ordinal(item["column"]) > column_ordinal(last["column"]))))
         fresh = F.struct(item["column"].alias("column"), item["row"].alias("row"), item["value"].alias("value"))
         longer = F.struct(last["column"].alias("column"), last["row"].alias("row"), F.concat(last["value"], F.lit("\n"), item["line"]).alias("value"))
@@ -306,7 +306,7 @@ def row_print(cells: Column, structural: list[str] = ()) -> Column:
 def only_one(text: Column, pattern: str) -> Column:
     """What a pattern's group finds in lower case, if it finds just one thing."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower))
-    return F.when(F.size(found) == 1, found[0])
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 def labels(text: Column, patterns: dict[str, str]) -> Column:

@@ -75,7 +75,7 @@ def judged(rule: Column, facts: Column) -> Column:
 
     def measured(rule_m: Column) -> Column:
         c, op, bar = rule_m["concept"], rule_m["operator"], rule_m["value"]
-        own = F.element_at(F.filter(given, lambda m: m["concept"] == c), -1)
+        own = F.try_element_at(F.filter(given, lambda m: m["concept"] == c), F.lit(-1))
         value = own["value"]
         holds = F.when(op == "<", value < bar).when(op == "<=", value <= bar).when(op.isin("=", "=="), value == bar).when(op == ">=", value >= bar).when(op == ">", value > bar)
         return (

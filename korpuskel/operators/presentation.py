@@ -56,13 +56,13 @@ def headers(rows: DataFrame, table: list[str], outcome: str = OUTCOME) -> DataFr
     candidates = rows.where(F.col("anchor").isNotNull() & F.coalesce(F.exists("cells", lambda c: value(c) == outcome), F.lit(False)))
     one = candidates.groupBy(*table).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("anchor.row_index", "cells")).alias("r")).where("n = 1")
     labels = F.filter(F.transform("r.cells", lambda c: F.struct(c["column"].alias("c"), value(c).alias("v"))), lambda x: x["v"] != "")
-    place = F.filter("r.cells", lambda c: value(c) == outcome)[0]["column"]
+    place = F.get(F.filter("r.cells", lambda c: value(c) == outcome), F.lit(0))["column"]
     none = F.array().cast("array<string>")
     schema = F.struct(
         F.lit(RULE).alias("row_kind"),
         F.col("r.row_index").alias("header_row"),
         F.map_from_entries(labels).alias("labels"),
-        F.array(F.col("r.cells")[0]["column"]).alias("identity"),
+        F.array(F.get("r.cells", F.lit(0))["column"]).alias("identity"),
         none.alias("structural"),
         none.alias("display"),
         X.column_ordinal(place).alias("outcome"),
@@ -78,7 +78,7 @@ def _filled(cells: Column) -> Column:
 def kind_of(cells: Column, anchor: Column, schema: Column) -> Column:
     """The kind of a passage, from its form alone."""
     filled = _filled(cells)
-    first = F.trim(filled[0]["value"], F.lit(" \t\n\r"))
+    first = F.trim(F.get(filled, F.lit(0))["value"], F.lit(" \t\n\r"))
     title = ~first.contains("\n") & (F.length(first) <= LONGEST_TITLE)
     return (
         F.when(cells.isNull() | anchor.isNull(), NARRATIVE)
@@ -93,7 +93,7 @@ def kind_of(cells: Column, anchor: Column, schema: Column) -> Column:
 
 def title_of(kind: Column, cells: Column, anchor: Column, schema: Column) -> Column:
     """Table, kind and, for rows of the table's own kind, what names the row; empty for narrative."""
-    value = lambda column: F.trim(F.filter(cells, lambda c: c["column"] == column)[0]["value"], F.lit(" \t\n\r"))
+    value = lambda column: F.trim(F.get(F.filter(cells, lambda c: c["column"] == column), F.lit(0))["value"], F.lit(" \t\n\r"))
     named = F.array_join(F.filter(F.transform(schema["identity"], value), lambda v: ~X.is_placeholder(v)), " ")
     called = reduce(lambda acc, k: F.when(kind == k, CALLED[k]).otherwise(acc), CALLED, F.lit("row"))
     base = F.concat(anchor["table_id"], F.lit(" - "), called)
@@ -120,7 +120,7 @@ def body_of(kind: Column, content: Column, cells: Column, schema: Column) -> Col
     return (
         F.when(kind == NARRATIVE, X.presentation(content))
         .when(kind == HEADER, F.concat(F.lit("Columns: "), F.array_join(F.transform(filled, lambda c: F.trim(c["value"], F.lit(" \t\n\r"))), " | ")))
-        .when(kind.isin(SECTION, NOTE), plain(filled[0]))
+        .when(kind.isin(SECTION, NOTE), plain(F.get(filled, F.lit(0))))
         .when(kind == METADATA, F.array_join(F.transform(filled, plain), ": "))
         .when(schema.isNull(), F.array_join(F.transform(filled, lambda c: F.concat(F.lit("- "), plain(c))), "\n"))
         .otherwise(F.array_join(F.concat(lines, groups), "\n"))

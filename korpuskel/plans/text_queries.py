@@ -145,7 +145,7 @@ def hashed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _docs(spark, sf_dir).select("doc_id", words.alias("w")).where(F.size("w") > 0)
     one = F.transform("w", lambda w: F.struct(F.concat(F.lit("u:"), w).alias("f"), F.lit(1.0).alias("v")))
     pairs = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda w, i: F.struct(F.concat(F.lit("b:"), w, F.lit("\x1f"), F.get("w", i + 1)).alias("f"), F.lit(0.5).alias("v")))
-    rest = F.struct(F.concat(F.lit("fallback:"), F.col("w")[0]).alias("f"), F.lit(0.0).alias("v"))
+    rest = F.struct(F.concat(F.lit("fallback:"), F.get("w", F.lit(0))).alias("f"), F.lit(0.0).alias("v"))
     each = made.select("doc_id", F.explode(F.concat(one, pairs, F.array(rest))).alias("x")).select("doc_id", "x.*")
     at, sign = X.feature_hash(F.col("f"), 384)
     summed = each.select("doc_id", at.alias("idx"), (sign * F.col("v")).alias("v"), (F.col("v") == 0).alias("is_rest")).groupBy("doc_id", "idx").agg(F.sum("v").alias("v"), F.bool_or("is_rest").alias("is_rest"))

@@ -110,14 +110,16 @@ def test_passages(spark):
         ("p", "Plain  text\n\n\n\nhere", None),
         ("u", "A6=x\nB6=y", [("TABLE_CELL", "other", 5, 0, None, None, None, None)]),
         ("e", None, cell(9)),
+        ("k", "B8=5\nD8=Wait", cell(10)),
     ]
     df = presentation.with_rows(spark.createDataFrame(rows, f"id string, content string, anchors {ANCHORS}"), "content", "anchors")
     schemas = presentation.headers(df.withColumn("table_id", F.col("anchor.table_id")), ["table_id"])
     got = {r.id: r for r in presentation.rendered(df, schemas, ["table_id"], "content").collect()}
-    assert {i: r.kind for i, r in got.items()} == {"h": "TABLE_HEADER", "r": "DECISION_RULE", "s": "TABLE_SECTION_TITLE", "m": "TABLE_METADATA", "n": "TABLE_NOTE", "p": "NARRATIVE", "u": "UNLABELLED_TABLE_ROW", "e": "NARRATIVE"}
+    assert {i: r.kind for i, r in got.items()} == {"h": "TABLE_HEADER", "r": "DECISION_RULE", "s": "TABLE_SECTION_TITLE", "m": "TABLE_METADATA", "n": "TABLE_NOTE", "p": "NARRATIVE", "u": "UNLABELLED_TABLE_ROW", "e": "NARRATIVE", "k": "DECISION_RULE"}
     assert (got["r"].title, got["r"].body) == ("T - decision rule R1", "When:\n- Age: 18 or more\nThen:\n- Guidance: Start\nnow")
     assert got["h"].body == "Columns: R | Age | Output Type | Guidance" and got["m"].body == "Decision ID: D.1" and got["u"].body == "- x\n- y"
     assert got["p"].body == "Plain text\n\nhere" and got["p"].title == "" and got["e"].body is None
+    assert (got["k"].title, got["k"].body) == ("T - decision rule", "When:\n- Age: 5\nThen:\n- Guidance: Wait")
     again = df.unionByName(df.where("id = 'h'").withColumn("id", F.lit("h2")))
     assert presentation.headers(again.withColumn("table_id", F.col("anchor.table_id")), ["table_id"]).count() == 0
     moved = spark.createDataFrame([("A9=X\nB9=y",), ("A7= x \nB7=Y",), ("A7=x\nC7=y",)], "c string").select(X.row_print(X.cells(F.col("c"))).alias("p")).collect()
