@@ -103,9 +103,13 @@ def needs_exact(text: Column) -> Column:
     return F.coalesce(text.rlike(_NEEDS_EXACT), F.lit(False))
 
 
+#: A run of white space, with the blanks that aren't ASCII. Fixed value.
+WHITE = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]+"
+
+
 def search_view(text: Column) -> Column:
-    """One blank for each run of white space, none outside."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """One blank for each run of white space of any kind, none outside."""
+    return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
 def presentation(text: Column) -> Column:

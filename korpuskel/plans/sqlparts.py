@@ -27,7 +27,7 @@ def tokens(column: str) -> str:
 
 
 def view(column: str) -> str:
-    return f"trim(regexp_replace({column}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+    return f"trim(regexp_replace({column}, '{X.WHITE}', ' ', 'g'), ' ')"
 
 
 def present(column: str) -> str:

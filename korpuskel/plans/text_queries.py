@@ -301,7 +301,7 @@ def _tokens(text: str) -> str:
 
 
 _TF = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL"
-_VIEW = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_VIEW = "trim(regexp_replace({0}, '" + X.WHITE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'), ' ')"
 _PRESENT = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
 _SWAP = "concat(substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2))"
 
