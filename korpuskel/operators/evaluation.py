@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,34 +123,103 @@ def unmet(summaries: DataFrame, thresholds: list[tuple[str, str, str, float, boo
     return summaries.select(*by, F.explode(F.array_compact(F.array(*checks))).alias("x")).select(*by, "x.*")
 
 
-def _chances(population: int, successes: int, draws: int) -> list[tuple[int, Fraction]]:
-    """(k, exact probability) of k successes among the draws, over all k that can be."""
-    low, high = max(0, draws - (population - successes)), min(successes, draws)
-    whole = math.comb(population, draws)
-    return [(k, Fraction(math.comb(successes, k) * math.comb(population - successes, draws - k), whole)) for k in range(low, high + 1)]
+def _ends(population: int, successes: int, draws: int) -> tuple[int, int]:
+    """The fewest and the most successes that there can be among the draws."""
+    return max(0, draws - (population - successes)), min(successes, draws)
 
 
-def hypergeometric(population: int, successes: int, draws: int, observed: int, alpha: float = 0.05) -> tuple[int, int, float]:
-    """(low, high, p): the central interval that leaves at most half of ``alpha`` in each tail, and the chance of an outcome no more likely than the observed one."""
-    chances = _chances(population, successes, draws)
-    half = Fraction(alpha).limit_denominator(10**9) / 2
+def _ways(population: int, successes: int, draws: int) -> Iterator[int]:
+    """In how many of the comb(population, draws) draws there are k successes, for each k that can be."""
+    low, high = _ends(population, successes, draws)
+    rest = population - successes - draws
+    ways = math.comb(successes, low) * math.comb(population - successes, draws - low)
+    for k in range(low, high):
+        yield ways
+        ways = ways * ((successes - k) * (draws - k)) // ((k + 1) * (rest + k + 1))
+    yield ways
+
+
+def _weights(population: int, successes: int, draws: int, bits: int) -> tuple[int, list[int], int]:
+    """(k of the first, weights, slack): ``_ways`` in units of 2**-bits of the largest, rounded down, without the ends where they are 0.
+
+    Walked from the largest outwards, where each ratio is at most 1, so a step adds at most 1 to what a weight lacks. Any sum of
+    weights, those of the ends included, lacks at most ``slack``.
+    """
+    low, high = _ends(population, successes, draws)
+    rest = population - successes - draws
+    mode = min(max((draws + 1) * (successes + 1) // (population + 2), low), high)
+    up, down = [1 << bits], [1 << bits]
+    for k in range(mode, high):
+        up.append(up[-1] * ((successes - k) * (draws - k)) // ((k + 1) * (rest + k + 1)))
+        if not up[-1]:
+            break
+    for k in range(mode, low, -1):
+        down.append(down[-1] * (k * (rest + k)) // ((successes - k + 1) * (draws - k + 1)))
+        if not down[-1]:
+            break
+    return mode - len(down) + 1, down[:0:-1] + up, max(len(up), len(down)) * (high - low + 1)
+
+
+def _edge(population: int, successes: int, draws: int, half: Fraction) -> int:
+    """The least k for which the chance of at most k successes is above ``half``."""
+    low, high = _ends(population, successes, draws)
+    if not 0 < half < 1:
+        return low if half <= 0 else high
+    first, weights, slack = _weights(population, successes, draws, 128)
+    whole = sum(weights)
+    sure, unsure = math.floor(half * (whole + slack)), math.floor(half * whole) - slack
+    below = 0
+    for k, weight in enumerate(weights, first):
+        below += weight
+        if below > sure or (below > unsure and sum(islice(_ways(population, successes, draws), k - low + 1)) > half * math.comb(population, draws)):
+            return k
+    return high
+
+
+def _chance_of_rarer(population: int, successes: int, draws: int, observed: int) -> float:
+    """Chance of a number of successes that is no likelier than the observed one; 0 for one that can't be."""
+    low, high = _ends(population, successes, draws)
+    if not low <= observed <= high:
+        return 0.0
+    rest = population - successes - draws
+
+    def is_rarer(k: int) -> bool:
+        """Exactly, by the product of the ratios between the two."""
+        a, n = min(k, observed), abs(k - observed)
+        larger, smaller = math.perm(successes - a, n) * math.perm(draws - a, n), math.perm(a + n, n) * math.perm(rest + a + n, n)
+        return larger >= smaller if k < observed else larger <= smaller
+
+    for bits in (128, 512, 2048):
+        first, weights, slack = _weights(population, successes, draws, bits)
+        bar = weights[observed - first] if 0 <= observed - first < len(weights) else 0
+        if bar > slack << 64:
+            rare, whole = sum(w for k, w in enumerate(weights, first) if w + slack <= bar or (w <= bar + slack and is_rarer(k))), sum(weights)
+            if (p := rare / (whole + slack)) == (rare + slack) / whole:
+                return p
+    if bar <= slack << 64:
+        return 0.0  # less than the least double
+    bar = next(islice(_ways(population, successes, draws), observed - low, None))
+    return sum(w for w in _ways(population, successes, draws) if w <= bar) / math.comb(population, draws)
+
 
-    def edge(ordered: list[tuple[int, Fraction]]) -> int:
-        below = Fraction(0)
-        for k, chance in ordered:
-            below += chance
-            if below > half:
-                return k
-        return ordered[-1][0]
+def hypergeometric(population: int, successes: int, draws: int, observed: int, alpha: float = 0.05) -> tuple[int, int, float]:
+    """(low, high, p): the central interval that leaves at most half of ``alpha`` in each tail, and the chance of an outcome no more likely than the observed one.
 
-    bar = dict(chances).get(observed, Fraction(0))
-    return edge(chances), edge(chances[::-1]), float(sum((c for _, c in chances if c <= bar), Fraction(0)))
+    Exact, p as the double nearest to it, in time that grows with the standard deviation of the successes. Counts of all outcomes,
+    numbers of up to as many bits as the population, are taken only where fixed-point sums and their bounds can't decide: on a tie.
+    """
+    if not (0 <= successes <= population and 0 <= draws <= population):
+        raise ValueError(f"{successes} successes and {draws} draws of {population}")
+    if abs(2 * successes - population) > abs(2 * draws - population):
+        successes, draws = draws, successes  # the same chances, shorter numbers
+    half = Fraction(alpha).limit_denominator(10**9) / 2
+    return _edge(population, successes, draws, half), draws - _edge(population, population - successes, draws, half), _chance_of_rarer(population, successes, draws, observed)
 
 
 def draw_checks(rows: DataFrame, population: str, successes: str, draws: str, observed: str, alpha: float = 0.05) -> DataFrame:
     """``rows`` with ``low``, ``high``, ``p`` and ``is_inside`` of the exact hypergeometric test; nulls where a number is missing or impossible.
 
-    Exact rational arithmetic in Python: meant for strata, not for rows by the million.
+    Computed in Python: meant for strata of any size, not for rows by the million.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("is_inside", T.BooleanType())])
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import math
+import signal
+from fractions import Fraction
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +75,36 @@ def test_exact_draws():
     assert evaluation.goodness_of_fit([100, 100, 100], [28, 1, 1]) < 0.001
 
 
+def test_exact_draws_of_large_strata():
+    def stop(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(30)  # counting every outcome of 90,000 takes minutes
+    try:
+        assert evaluation.hypergeometric(90000, 18000, 18000, 3501) == (3506, 3694, 0.03916301629021241)
+        assert evaluation.hypergeometric(90000, 45000, 9000, 4400) == (4412, 4588, 0.02702367232184474)  # 4,600 is exactly as likely
+        assert evaluation.hypergeometric(900000, 180000, 180000, 36500) == (35703, 36298, 0.000999205892008093)
+        assert evaluation.hypergeometric(900000, 180000, 180000, 0) == (35703, 36298, 0.0)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def test_exact_draws_against_all_outcomes():
+    for n, k, d in product(range(9), repeat=3):
+        if max(k, d) > n:
+            continue
+        chances = {i: Fraction(math.comb(k, i) * math.comb(n - k, d - i), math.comb(n, d)) for i in range(max(0, d - n + k), min(k, d) + 1)}
+        for x, alpha in product(range(d + 1), (0.05, 0.5, 1.0)):
+            half = Fraction(alpha).limit_denominator(100) / 2
+            low = min(i for i in chances if sum(c for j, c in chances.items() if j <= i) > half)
+            high = max(i for i in chances if sum(c for j, c in chances.items() if j >= i) > half)
+            assert evaluation.hypergeometric(n, k, d, x, alpha) == (low, high, float(sum(c for c in chances.values() if c <= chances.get(x, 0))))
+    assert evaluation.hypergeometric(4000, 100, 1, 1) == (0, 0, 0.025)  # exactly half of alpha, so outside
+    assert evaluation.hypergeometric(4000, 101, 1, 1)[:2] == (0, 1)
+
+
 def test_draw_checks_leave_bad_rows_open(spark):
     rows = spark.createDataFrame([(20, 10, 6, 3), (5, 9, 1, 0), (None, 1, 1, 1)], "n int, k int, d int, x int")
     got = [(r.low, r.high, r.is_inside) for r in evaluation.draw_checks(rows, "n", "k", "d", "x").collect()]
